@@ -7,6 +7,9 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from textloom.session import ship_package
 
 #: Rows of one Arrow batch; Spark also closes a batch at 64 MB, so very long texts stay bounded.
 BATCH_ROWS = 2000
@@ -42,7 +45,7 @@ def slices(batch: pa.RecordBatch, rows: int = BATCH_ROWS) -> Iterator[pa.RecordB
         yield batch.slice(at, rows)
 
 
-def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table], schema: "str | StructType") -> DataFrame:
     """function over bounded slices of Arrow batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,6 +54,7 @@ def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch
                 made = function(part)
                 yield from made.to_batches() if isinstance(made, pa.Table) else (made,)
 
+    ship_package(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
