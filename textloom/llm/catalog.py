@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import bpe, near_dup, quality, toxicity
+from textloom.llm import bpe, near_dup, quality, secrets, toxicity
 from textloom.llm.common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -21,6 +21,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -30,7 +34,7 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op4_toxicity, op9_quality, op10_near_dup)}
+    return {f.__name__: f for f in (op1_byte_bpe, op4_toxicity, op5_secrets, op9_quality, op10_near_dup)}
 
 
 def oracle_sql() -> dict[str, str]:
