@@ -7,10 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import bpe, near_dup, quality, secrets, toxicity
+from textloom.llm import bpe, fingerprint, near_dup, quality, secrets, sharding, toxicity
 from textloom.llm.common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
+SHARDS = 8
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +26,14 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"), [1.0] * SHARDS)
+
+
+def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -34,7 +43,7 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op4_toxicity, op5_secrets, op9_quality, op10_near_dup)}
+    return {f.__name__: f for f in (op1_byte_bpe, op4_toxicity, op5_secrets, op6_sharding, op8_fingerprint, op9_quality, op10_near_dup)}
 
 
 def oracle_sql() -> dict[str, str]:
