@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import bpe, fingerprint, near_dup, quality, secrets, sharding, toxicity
+from textloom.llm import bpe, fingerprint, near_dup, quality, secrets, sharding, toxicity, warc
 from textloom.llm.common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -30,6 +30,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), [1.0] * SHARDS)
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"), least=0)
+
+
 def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -43,7 +47,7 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op4_toxicity, op5_secrets, op6_sharding, op8_fingerprint, op9_quality, op10_near_dup)}
+    return {f.__name__: f for f in (op1_byte_bpe, op4_toxicity, op5_secrets, op6_sharding, op7_warc, op8_fingerprint, op9_quality, op10_near_dup)}
 
 
 def oracle_sql() -> dict[str, str]:
