@@ -14,13 +14,14 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from pathlib import Path
 
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from textloom.llm.common import map_arrow, text_rows
 
@@ -65,17 +66,18 @@ def encode(enc: tiktoken.Encoding, text: str, size: int = PIECE) -> list[int]:
     return ids
 
 
-def encode_documents(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, token_ids array<int>) for every document."""
+def encode_documents(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, token_ids array<int>) for every document, then the columns of docs that keep names."""
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(rank_path))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         enc = encoding(ranks.value, pattern)
         ids = pa.array((encode(enc, text) for text in batch.column(1).to_pylist()), pa.list_(pa.int32()))
-        return pa.RecordBatch.from_arrays([batch.column(0), ids], ["doc_id", "token_ids"])
+        return pa.RecordBatch.from_arrays([batch.column(0), ids, *batch.columns[2:]], ["doc_id", "token_ids", *keep])
 
-    rows = text_rows(docs, id_col, text_col)
-    return map_arrow(rows, run, f"doc_id {rows.dtypes[0][1]}, token_ids array<int>")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *(F.col(c) for c in keep))
+    kinds = dict(rows.dtypes)
+    return map_arrow(rows, run, ", ".join([f"doc_id {kinds['doc_id']}", "token_ids array<int>", *(f"`{c}` {kinds[c]}" for c in keep)]))
 
 
 def decode_documents(tokens: DataFrame, rank_path: str, pattern: str) -> DataFrame:
