@@ -22,10 +22,10 @@ def _lanes(scores: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.ascontiguousarray(scores.reshape(lanes, steps, -1).transpose(1, 2, 0)), np.ascontiguousarray(first.reshape(lanes, steps).T), total
 
 
-def marginals(scores: np.ndarray, first: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def marginals(scores: np.ndarray, first: np.ndarray, trans: np.ndarray, moves: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Forward-backward. scores: (tokens, states) of log potentials; first: where a sequence begins; trans: log, from row to column.
 
-    Returns each token's state probabilities, and the expected number of each transition inside sequences.
+    Returns each token's state probabilities and, unless moves is false, the expected number of each transition inside sequences.
     """
     states = scores.shape[1]
     if not len(first):
@@ -76,11 +76,10 @@ def marginals(scores: np.ndarray, first: np.ndarray, trans: np.ndarray) -> tuple
     for t in range(steps - 1, -1, -1):
         p = alpha[t] * v
         out[t] = p / p.sum(axis=0)
-        w = v * e[t]
-        before = alpha[t - 1] if t else start
-        inside = ~head[t]
-        joint = before[:, None, :] * a[:, :, None] * w[None, :, :]
-        pairs += (joint / np.maximum(joint.sum(axis=(0, 1)), 1e-300))[:, :, inside].sum(axis=2)
+        if moves:
+            before = alpha[t - 1] if t else start
+            joint = before[:, None, :] * a[:, :, None] * (v * e[t])[None, :, :]
+            pairs += (joint / np.maximum(joint.sum(axis=(0, 1)), 1e-300))[:, :, ~head[t]].sum(axis=2)
         v = backward_step(v, t)
         v = v / v.sum(axis=0)
     return out.transpose(2, 0, 1).reshape(-1, states)[:total], pairs

@@ -3,7 +3,7 @@
 Labels exist for documents only, so the training tokens are labelled from them: in a toxic training
 document, a token is toxic if its word or a prefix of it occurs in far more toxic training documents than
 chance allows; all other tokens are not. The field learns from these tokens (own word, prefixes, suffix,
-shape; both neighbours; transitions), its forward-backward marginals are summed up by document, and a
+shape; transitions to the neighbours), its forward-backward marginals are summed up by document, and a
 small logistic regression over those sums, weighted back to the true class shares, gives the score.
 
 The model is fitted on a bounded sample: at most TRAIN_DOCS documents of each class, of at most TRAIN_BYTES
@@ -20,6 +20,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,47 +31,50 @@ from textloom.llm import crf
 from textloom.llm.common import held_out, map_arrow, text_rows
 from textloom.llm.quality import sample
 
-BITS = 18
 TRAIN_DOCS = 1200
 TRAIN_BYTES = 1 << 13
 MEMO = 1 << 19
 PREFIXES = (3, 4, 5, 6)
 #: Code points of texts that are scored together.
 CHUNK = 4 << 20
-_EDGE = re.compile(r"^\W+|\W+$")
+#: Features of smaller weight are dropped from the model.
+LEAST_WEIGHT = 0.02
+_EDGE = ".,;:!?\"'()[]{}|*%$&#-_/<>=+~`^@"
 
 
 def normal(word: str) -> str:
-    return _EDGE.sub("", word).lower()
+    return word.strip(_EDGE).lower()
 
 
-def _bin(kind: str, value: str) -> int:
-    return zlib.crc32(f"{kind}{value}".encode()) % ((1 << BITS) - 1) + 1
-
-
-def own_bins(word: str) -> list[int]:
-    """Bins of a token's own features; always as many, bin 0 stands for none."""
+def own_features(word: str) -> list[tuple[str | int, str]]:
+    """A token's features: (kind, value) for its word, prefixes, suffix and shape."""
     w = normal(word)
-    shape = ("X" if word[:1].isupper() else "x") + ("U" if len(word) > 2 and word.isupper() else "") + ("9" if any(c.isdigit() for c in word) else "")
-    return [_bin("w", w), *(_bin(f"p{k}", w[:k]) if len(w) > k else 0 for k in PREFIXES), _bin("s", w[-3:]), _bin("h", shape), _bin("b", "")]
+    return [("w", w), *((k, w[:k]) for k in PREFIXES if len(w) > k), ("s", w[-3:]), ("h", shape(word)), ("b", "")]
 
 
-def side_bins(word: str, side: str) -> list[int]:
-    w = normal(word)
-    return [_bin(side + "w", w), _bin(side + "p", w[:4])]
+def shape(word: str) -> str:
+    return ("X" if word[:1].isupper() else "x") + ("U" if len(word) > 2 and word.isupper() else "")
 
 
 class Emissions(dict):
-    """Word -> (own, as left neighbour, as right neighbour) scores of the toxic state over the other."""
+    """Word -> score of the toxic state over the other; emptied before it grows large."""
 
-    def __init__(self, weights: np.ndarray):
-        self.gap = weights[:, 1] - weights[:, 0]
+    def __init__(self, gaps: dict[str | int, dict[str, float]]):
+        self.gaps = gaps
+        self.prefixes = [(k, gaps.get(k, {})) for k in PREFIXES]
+        self.bias = gaps.get("b", {}).get("", 0.0)
 
-    def __missing__(self, word: str) -> tuple[float, float, float]:
+    def __missing__(self, word: str) -> float:
         if len(self) >= MEMO:
             self.clear()
-        found = self[word] = (float(self.gap[own_bins(word)].sum()), float(self.gap[side_bins(word, "l")].sum()), float(self.gap[side_bins(word, "r")].sum()))
-        return found
+        w, gaps = normal(word), self.gaps
+        score = self.bias + gaps["w"].get(w, 0.0) + gaps["s"].get(w[-3:], 0.0) + gaps["h"].get(shape(word), 0.0)
+        size = len(w)
+        for k, of in self.prefixes:
+            if size > k:
+                score += of.get(w[:k], 0.0)
+        self[word] = score
+        return score
 
 
 def token_marginals(texts: list[str], emissions: Emissions, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -78,15 +82,11 @@ def token_marginals(texts: list[str], emissions: Emissions, trans: np.ndarray) -
     words = [text.split() for text in texts]
     counts = np.fromiter(map(len, words), np.int64, len(words))
     total = int(counts.sum())
-    each = np.fromiter((x for of in words for w in of for x in emissions[w]), np.float64, 3 * total).reshape(total, 3)
+    toxic = np.fromiter(map(emissions.__getitem__, chain.from_iterable(words)), np.float64, total)
     first = np.zeros(total, bool)
     ends = np.cumsum(counts)
     first[(ends - counts)[counts > 0]] = True
-    last = np.roll(first, -1)
-    toxic = each[:, 0].copy()
-    toxic[~first] += each[:-1, 1][~first[1:]] if total else 0
-    toxic[~last] += each[1:, 2][~last[:-1]] if total else 0
-    p, _ = crf.marginals(np.column_stack((np.zeros(total), toxic)), first, trans)
+    p, _ = crf.marginals(np.column_stack((np.zeros(total), toxic)), first, trans, moves=False)
     return p[:, 1], counts
 
 
@@ -146,31 +146,30 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> dict | No
         return None
     words = [r["text"].split() for r in rows]
     toxic = seeds(words, y)
-    memo: dict[str, tuple[list[int], list[int], list[int], bool]] = {}
+    numbers: dict[tuple[str | int, str], int] = {}
+    memo: dict[str, tuple[list[int], bool]] = {}
     feats, tags, first = [], [], []
+    width = len(PREFIXES) + 4
     for of, label_of in zip(words, y, strict=True):
-        for w in of:
+        for i, w in enumerate(of):
             if w not in memo:
                 n = normal(w)
-                memo[w] = own_bins(w), side_bins(w, "l"), side_bins(w, "r"), (0, n) in toxic or any((k, n[:k]) in toxic for k in PREFIXES if len(n) > k)
-        for i, w in enumerate(of):
-            left = memo[of[i - 1]][1] if i else [0, 0]
-            right = memo[of[i + 1]][2] if i + 1 < len(of) else [0, 0]
-            feats.append(memo[w][0] + left + right)
-            tags.append(int(label_of and memo[w][3]))
+                own = [numbers.setdefault(f, len(numbers) + 1) for f in own_features(w)]
+                memo[w] = own + [0] * (width - len(own)), (0, n) in toxic or any((k, n[:k]) in toxic for k in PREFIXES if len(n) > k)
+            feats.append(memo[w][0])
+            tags.append(int(label_of and memo[w][1]))
             first.append(i == 0)
-    weights, trans = crf.fit(np.array(feats, np.int32), np.array(tags), np.array(first), 2, 1 << BITS)
-    emissions = Emissions(weights)
+    weights, trans = crf.fit(np.array(feats, np.int32), np.array(tags), np.array(first), 2, len(numbers) + 1, rounds=30)
+    gap = weights[:, 1] - weights[:, 0]
+    gaps: dict[str | int, dict[str, float]] = {kind: {} for kind in ("w", "s", "h", "b", *PREFIXES)}
+    for (kind, value), at in numbers.items():
+        if abs(gap[at]) > LEAST_WEIGHT:
+            gaps[kind][value] = float(gap[at])
+    emissions = Emissions(gaps)
     x = document_features(*token_marginals([r["text"] for r in rows], emissions, trans))
     y = np.array(y, float)
     weight = np.where(y > 0, shares.get(1, 1) / y.sum(), shares.get(0, 1) / (1 - y).sum())
-    gap = emissions.gap.astype(np.float32)
-    return {"gap": gap, "trans": trans, "document": logistic(x, y, weight / weight.mean())}
-
-
-def _emissions(model: dict) -> Emissions:
-    gap = model["gap"].astype(float)
-    return Emissions(np.column_stack((np.zeros(len(gap)), gap)))
+    return {"gaps": gaps, "trans": trans, "document": logistic(x, y, weight / weight.mean())}
 
 
 def _chunks(texts: list[str]) -> Iterator[list[str]]:
@@ -191,7 +190,7 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: f
     spans: array of (start, end, p) in code points, end exclusive, one for each run of tokens with p > 0.5.
     """
     model = train(docs, labels, label)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS floats: 1 MB
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # features of the bounded sample only
     held: list[Emissions] = []
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -203,7 +202,7 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: f
                 found += [[]] * len(part)
                 continue
             if not held:
-                held.append(_emissions(model))
+                held.append(Emissions(model["gaps"]))
             p, counts = token_marginals(part, held[0], model["trans"])
             x = document_features(p, counts)
             scores += (1 / (1 + np.exp(-np.clip(x @ model["document"][:-1] + model["document"][-1], -30, 30)))).tolist()
