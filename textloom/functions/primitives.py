@@ -18,14 +18,23 @@ def weave(gaps: Column, parts: Column) -> Column:
     return F.array_join(F.zip_with(gaps, F.concat(parts, F.array(F.lit(""))), lambda g, p: F.concat(g, p)), "")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def replace_matches(text: Column, pattern: str, change: Callable[..., Column], groups: Sequence[int] = (0,)) -> Column:
     """Rewrite each non-empty match, left to right, through change(group, ...); all else stays as it is."""
-    if len(groups) == 1:
-        parts = F.transform(matches(text, pattern, groups[0]), lambda m: change(m))
-    else:
-        zipped = F.arrays_zip(*(matches(text, pattern, g).alias(f"g{g}") for g in groups))
-        parts = F.transform(zipped, lambda m: change(*(m.getField(str(i)) for i in range(len(groups)))))
-    return weave(F.split(text, pattern, -1), parts)
+
+    def rewrite(t: Column) -> Column:
+        if len(groups) == 1:
+            parts = F.transform(matches(t, pattern, groups[0]), lambda m: change(m))
+        else:
+            zipped = F.arrays_zip(*(matches(t, pattern, g).alias(f"g{g}") for g in groups))
+            parts = F.transform(zipped, lambda m: change(*(m.getField(f"g{g}") for g in groups)))
+        return weave(F.split(t, pattern, -1), parts)
+
+    return let(text, rewrite)
 
 
 def code_points(text: Column) -> Column:

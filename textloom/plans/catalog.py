@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.plans import analysis_queries
+from textloom.plans import analysis_queries, codec_queries, ingest_queries
 
-MODULES = (analysis_queries,)
+MODULES = (analysis_queries, codec_queries, ingest_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

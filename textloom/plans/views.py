@@ -14,7 +14,7 @@ MARKUP = (
     f" '<table><tr>', source, {NL}, '</table>', {NL}, '[[ja:', source, ']]', {NL}, '[[ko:', doc_id, ']] {{{{InfoBox ', source, '}}}} URL0_ MATH_1_ IMG3_ zz0_')"
 )
 #: Brackets, titles and quotes around words of the row.
-WIKI = f"concat('The [[', source, ']] page.', {NL}, '== About ', lang, ' ==', {NL}, 'See {{{{main ', source, '}}}} or {Q2}old{Q2} text [[a b]]c ', text)".replace("{Q2}", f"', {Q}, {Q}, '")
+WIKI = f"concat('The [[', source, ']] page.', {NL}, '== About ', lang, ' ==', {NL}, 'See {{{{main ', source, '}}}} or ', {Q}, {Q}, 'old', {Q}, {Q}, ' text [[a b]]c ', text)"
 #: Escaped text, as a dump has it.
 ESCAPED = "replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
 #: A page of a dump; every fourth has an address for a contributor, some have restrictions or a comment.
