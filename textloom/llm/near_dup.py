@@ -8,8 +8,9 @@ pairs from a bucket are estimated jointly by likelihood and then verified on the
 
 No pairs are listed within a group. Equal sets form a class, of which one stands for all. In each bucket
 every member meets the smallest one (a star). What is left apart after that meets the bucket's other
-members only if shingles that no other such set has leave it room to be similar, an exact bound; so no
-link is lost beyond the misses of the bands, (1 - 0.8^6)^42 < 3e-6 at similarity 0.8.
+members only if an exact bound leaves room: each set has a bitmap of PARITY bits, one flipped by every
+element, and two bitmaps differ in no more bits than the sets do in elements. So no link is lost beyond
+the misses of the bands, (1 - 0.8^6)^42 < 3e-6 at similarity 0.8.
 
 Defined cases: null or empty text, or text without words, has the empty set and is linked with nothing; a
 null id takes part in nothing and gets a null component, not kept; repeated rows are equal texts and share
@@ -20,11 +21,12 @@ of the input are left out.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.common import checkpointed, map_arrow
@@ -36,6 +38,10 @@ BANDS, ROWS = 42, 6
 BASE, RATE, TOP = 1.001, 20.0, 65535
 #: Pairs whose estimate is below this are not verified: over five standard errors under 0.8.
 LEAST_ESTIMATE = 0.62
+#: Bits of the parity bitmaps.
+PARITY = 2048
+#: Rows of a block of a query set or of what it meets.
+BLOCK = 1024
 _GAMMA = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -115,21 +121,46 @@ def profile(docs: DataFrame, width: int) -> DataFrame:
     return map_arrow(rows, run, f"doc_id {rows.dtypes[0][1]}, n long, s1 long, s2 long, bands array<long>")
 
 
+def parity(elements: np.ndarray) -> np.ndarray:
+    """The set's bitmap, as PARITY / 64 longs."""
+    odd = np.bincount((elements >> np.uint64(20)).astype(np.int64) % PARITY, minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def full_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """(node, registers, hashes) of the documents that nodes names."""
+    """(node, n, bits, registers, hashes) of the documents that nodes names."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets(batch.column(1).to_pylist(), width)
         kept = registers(sets)
-        columns = [batch.column(0), pa.array([r.tobytes() for r in kept], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays(columns, ["node", "registers", "hashes"])
+        columns = [batch.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array(list(map(parity, sets)), pa.list_(pa.int64()))]
+        columns += [pa.array([r.tobytes() for r in kept], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(columns, ["node", "n", "bits", "registers", "hashes"])
+
+    rows = docs.select(F.col("doc_id").alias("node"), "text").join(nodes, "node", "left_semi").dropDuplicates(["node", "text"])
+    return map_arrow(rows, run, f"node {rows.dtypes[0][1]}, n long, bits array<long>, registers binary, hashes array<long>")
+
+
+def room(bits_a: Column, bits_b: Column, n_a: Column, n_b: Column, percent: int) -> Column:
+    """False only if the bitmaps prove that the similarity is too low."""
+    differ = reduce(lambda x, y: x + y, (F.bit_count(F.get(bits_a, F.lit(i)).bitwiseXOR(F.get(bits_b, F.lit(i)))) for i in range(PARITY // 64)))
+    return (100 + percent) * differ <= (100 - percent) * (n_a + n_b)
+
 
-    rows = docs.select(F.col("doc_id").alias("node"), "text").join(nodes, "node", "left_semi")
-    return map_arrow(rows, run, f"node {rows.dtypes[0][1]}, registers binary, hashes array<long>")
+def room_table(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
+    """room() of every row of a with every row of b: bitmaps as (rows, PARITY / 64) of 64-bit words."""
+    differ = np.zeros((len(a), len(b)), np.int32)
+    for word in range(a.shape[1]):
+        differ += np.bitwise_count(a[:, word, None] ^ b[None, :, word])
+    return (100 + percent) * differ <= (100 - percent) * (n_a[:, None] + n_b[None, :])
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity; pairs of low estimate are not looked into."""
+    """The pairs (a, b) whose full sets reach the similarity; pairs without room or of low estimate are not looked into."""
+    slim = sets.select("node", "n", "bits")
+    pairs = pairs.join(slim.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba")), "a")
+    pairs = pairs.join(slim.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb")), "b")
+    pairs = pairs.where(room(F.col("ba"), F.col("bb"), F.col("na"), F.col("nb"), percent)).select("a", "b").distinct()
     each = pairs.join(sets.select(F.col("node").alias("a"), F.col("registers").alias("ra"), F.col("hashes").alias("ha")), "a")
     each = each.join(sets.select(F.col("node").alias("b"), F.col("registers").alias("rb"), F.col("hashes").alias("hb")), "b")
     each = each.select("a", "b", "ra", "rb", "ha", "hb")
@@ -179,10 +210,10 @@ def link(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
     usable = seen.where("doc_id IS NOT NULL AND n > 0")
     classes = checkpointed(usable.groupBy("s1", "s2").agg(F.min("doc_id").alias("node")))
     chosen = usable.join(classes.withColumnRenamed("node", "doc_id"), ["s1", "s2", "doc_id"]).dropDuplicates(["s1", "s2", "doc_id"])
-    buckets = chosen.select(F.col("doc_id").alias("node"), F.explode("bands").alias("key")).distinct()
+    buckets = chosen.select(F.col("doc_id").alias("node"), F.explode("bands").alias("key"))
     shared = buckets.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("members")).where("members > 1")
     members = checkpointed(buckets.join(shared, "key"))
-    sets = checkpointed(full_sets(docs, members.select("node").distinct(), width).dropDuplicates(["node", "hashes"]))
+    sets = checkpointed(full_sets(docs, members.select("node").distinct(), width))
     stars = members.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     links = checkpointed(verify(stars, sets, percent))
     found = checkpointed(components(links))
@@ -197,26 +228,41 @@ def link(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
 def apart(members: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of buckets of three or more that the stars left in different components and that may be similar.
 
-    In a bucket, members outside its commonest component meet all others. With `own` shingles that no other
-    of these sets holds and `rest` that some do, two sets share at most the smaller rest, and their union
-    has at least the larger rest and both own: an exact bound on the similarity.
+    In a bucket, members outside its commonest component must meet all others. All buckets with the same
+    commonest component are one group, so a pair is looked at once for a group and not in each bucket; in a
+    group, the members outside are a query set against all of it, block by block of at most about BLOCK
+    rows, and only pairs that the bitmaps leave room for come out.
     """
     placed = members.where("members > 2").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     per = placed.groupBy("key", "component").agg(F.count("*").alias("size"))
     main = per.groupBy("key").agg(F.max_by("component", F.struct("size", -F.col("component"))).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    placed = checkpointed(placed.join(main, "key").select("key", "node", "component", "main"))
-    held = sets.join(placed.select("node").distinct(), "node", "left_semi").select("node", F.explode("hashes").alias("hash"))
-    alone = held.groupBy("hash").agg(F.count("*").alias("times"), F.min("node").alias("node")).where("times = 1").groupBy("node").agg(F.count("*").alias("own"))
-    sizes = sets.select("node", F.size("hashes").alias("n")).groupBy("node").agg(F.max("n").alias("n"))
-    room = placed.join(sizes, "node").join(alone, "node", "left").select("key", "node", "component", "main", F.coalesce("own", F.lit(0)).alias("own"), "n")
-    room = checkpointed(room.withColumn("rest", F.col("n") - F.col("own")).where(f"100 * rest >= {percent} * n"))
-    x = room.where("component <> main").select("key", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("own").alias("oa"), F.col("rest").alias("ta"), F.col("main"))
-    y = room.select("key", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("own").alias("ob"), F.col("rest").alias("tb"))
-    may = F.col("ca") != F.col("cb")
-    may &= 100 * F.least("ta", "tb") >= percent * (F.greatest("ta", "tb") + F.col("oa") + F.col("ob"))
-    may &= (F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))
-    pairs = x.join(y, (x["key"] == y["key"]) & may)
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    placed = placed.join(main, "key").select("main", "node", "component").distinct()
+    placed = placed.join(sets.select("node", "n", "bits"), "node")
+    sizes = placed.groupBy("main").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = checkpointed(placed.join(sizes, "main").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
+    row = F.struct("node", "component", "n", "bits")
+    outside = placed.where("component <> main").groupBy("main", "block", "blocks").agg(F.collect_list(row).alias("x"))
+    outside = outside.select("main", "x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    every = placed.groupBy("main", "block").agg(F.collect_list(row).alias("y"))
+    kind = dict(members.dtypes)["node"]
+
+    def run(batch: pa.RecordBatch) -> pa.Table:
+        parts = []
+        for i in range(batch.num_rows):
+            (a, ca, na, wa), (b, cb, nb, wb) = (_unpacked(batch.column(k)[i].values) for k in (0, 1))
+            may = room_table(wa, wb, na, nb, percent) & (ca[:, None] != cb[None, :])
+            at, bt = np.nonzero(may)
+            parts.append((np.minimum(a[at], b[bt]), np.maximum(a[at], b[bt])))
+        both = [np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in (0, 1)]
+        return pa.table({"a": both[0], "b": both[1]})
+
+    return map_arrow(outside.join(every, ["main", "block"]).select("x", "y"), run, f"a {kind}, b {kind}").distinct()
+
+
+def _unpacked(rows: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(node, component, n, words) of a block."""
+    words = rows.field("bits").flatten().to_numpy().view(np.uint64).reshape(len(rows), -1)
+    return rows.field("node").to_numpy(), rows.field("component").to_numpy(), rows.field("n").to_numpy(), words
 
 
 def keep_one(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
