@@ -18,6 +18,7 @@ from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
@@ -72,7 +73,9 @@ def encode_documents(docs: DataFrame, rank_path: str, pattern: str, id_col: str
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         enc = encoding(ranks.value, pattern)
-        ids = pa.array((encode(enc, text) for text in batch.column(1).to_pylist()), pa.list_(pa.int32()))
+        each = [np.array(encode(enc, text), np.int32) for text in batch.column(1).to_pylist()]
+        offsets = np.cumsum([0, *map(len, each)], dtype=np.int32)
+        ids = pa.ListArray.from_arrays(offsets, np.concatenate(each) if each else np.zeros(0, np.int32))
         return pa.RecordBatch.from_arrays([batch.column(0), ids, *batch.columns[2:]], ["doc_id", "token_ids", *keep])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *(F.col(c) for c in keep))

@@ -11,8 +11,9 @@ from pyspark.sql.types import StructType
 
 from textloom.session import ship_package
 
-#: Rows of one Arrow batch; Spark also closes a batch at 64 MB, so very long texts stay bounded.
+#: Rows and bytes of a part of an Arrow batch that is worked on at a time; one long text may be larger.
 BATCH_ROWS = 2000
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,19 +41,31 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def slices(batch: pa.RecordBatch, rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
+def slices(batch: pa.RecordBatch, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch, halved until they are small enough."""
+    if batch.num_rows > 1 and (batch.num_rows > rows or batch.nbytes > size):
+        half = batch.num_rows // 2
+        yield from slices(batch.slice(0, half), rows, size)
+        yield from slices(batch.slice(half), rows, size)
+    elif batch.num_rows:
+        yield batch
 
 
-def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table], schema: "str | StructType") -> DataFrame:
-    """function over bounded slices of Arrow batches."""
+def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table], schema: "str | StructType", memo: Callable[[], dict] | None = None) -> DataFrame:
+    """function over bounded slices of Arrow batches; the dictionary that memo gives is emptied after each partition.
+
+    Python workers serve one stage after the other, so what a stage has remembered must not stay with them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                made = function(part)
-                yield from made.to_batches() if isinstance(made, pa.Table) else (made,)
+        try:
+            for batch in batches:
+                for part in slices(batch):
+                    made = function(part)
+                    yield from made.to_batches() if isinstance(made, pa.Table) else (made,)
+        finally:
+            if memo is not None:
+                memo().clear()
 
     ship_package(df.sparkSession)
     return df.mapInArrow(run, schema)

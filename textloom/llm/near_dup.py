@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.common import checkpointed, map_arrow
-from textloom.llm.shingles import mix, shingle_sets
+from textloom.llm.shingles import memo, mix, shingle_sets
 
 REGISTERS = 256
 BANDS, ROWS = 42, 6
@@ -118,7 +118,7 @@ def profile(docs: DataFrame, width: int) -> DataFrame:
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "s1", "s2", "bands"])
 
     rows = docs.select("doc_id", "text")
-    return map_arrow(rows, run, f"doc_id {rows.dtypes[0][1]}, n long, s1 long, s2 long, bands array<long>")
+    return map_arrow(rows, run, f"doc_id {rows.dtypes[0][1]}, n long, s1 long, s2 long, bands array<long>", memo)
 
 
 def parity(elements: np.ndarray) -> np.ndarray:
@@ -138,7 +138,7 @@ def full_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
         return pa.RecordBatch.from_arrays(columns, ["node", "n", "bits", "registers", "hashes"])
 
     rows = docs.select(F.col("doc_id").alias("node"), "text").join(nodes, "node", "left_semi").dropDuplicates(["node", "text"])
-    return map_arrow(rows, run, f"node {rows.dtypes[0][1]}, n long, bits array<long>, registers binary, hashes array<long>")
+    return map_arrow(rows, run, f"node {rows.dtypes[0][1]}, n long, bits array<long>, registers binary, hashes array<long>", memo)
 
 
 def room(bits_a: Column, bits_b: Column, n_a: Column, n_b: Column, percent: int) -> Column:

@@ -29,7 +29,7 @@ TRAIN_BYTES = 1 << 15
 EPOCHS = 4
 #: An n-gram's share of a document is small; this keeps the dot products of a useful size.
 SCALE = 40.0
-MEMO = 1 << 19
+MEMO = 1 << 17
 _REPEAT = 0x9E3779B1
 
 
@@ -52,6 +52,10 @@ class WordHashes(dict):
 _hashes = WordHashes()
 
 
+def memo() -> dict:
+    return _hashes
+
+
 def features(texts: list[str], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """Feature bins of all texts in one array of shape (4, words), and the number of words of each text."""
     words = [text.split() for text in texts]
@@ -133,7 +137,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> tuple[n
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "label", "at", "share"])
 
     chosen = sample(docs, labels, label, TRAIN_DOCS, TRAIN_BYTES).select("doc_id", "text", "label")
-    rows = map_arrow(chosen, run, f"doc_id {chosen.dtypes[0][1]}, label int, at array<int>, share array<float>").toArrow()
+    rows = map_arrow(chosen, run, f"doc_id {chosen.dtypes[0][1]}, label int, at array<int>, share array<float>", memo).toArrow()
     model = Ftrl()
     order = sorted(range(rows.num_rows), key=lambda i: (zlib.crc32(str(rows.column(0)[i].as_py()).encode()), i))
     each = [(rows.column(2)[i].values.to_numpy(), rows.column(3)[i].values.to_numpy().astype(float), float(rows.column(1)[i].as_py())) for i in order]
@@ -154,7 +158,7 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold:
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(p)], ["doc_id", "score"])
 
     rows = text_rows(docs)
-    scored = map_arrow(rows, run, f"doc_id {rows.dtypes[0][1]}, score double")
+    scored = map_arrow(rows, run, f"doc_id {rows.dtypes[0][1]}, score double", memo)
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -170,4 +174,4 @@ def accept(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold
         p = 1 / (1 + np.exp(-np.clip(margins(texts, *model.value), -35, 35)))
         return batch.filter(pa.array(p >= threshold))
 
-    return map_arrow(docs, run, docs.schema)
+    return map_arrow(docs, run, docs.schema, memo)

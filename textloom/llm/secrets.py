@@ -38,8 +38,8 @@ TRAIN_BYTES = 1 << 13
 BITS = 15
 #: Shortest core of an added span.
 LEAST = 8
-MEMO = 1 << 19
-CHUNK = 4 << 20
+MEMO = 1 << 17
+CHUNK = 2 << 20
 _CORE = re.compile(r"[A-Za-z0-9+/_.=-]+")
 _CONTEXT = frozenset("password passwd secret token api_key apikey key auth bearer credential credentials passphrase private access pwd login user".split())
 
@@ -142,8 +142,11 @@ def _scores(weights: np.ndarray, table: np.ndarray, numbers: np.ndarray, first:
 
 def train(docs: DataFrame) -> dict | None:
     """The field, fitted on the driver over the bounded sample; None if the sample has no base span."""
-    rows = text_rows(docs).where(F.octet_length("text") <= TRAIN_BYTES).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(TRAIN_DOCS)
-    texts = [r["text"] for r in rows.select("text").collect()]
+    small = text_rows(docs).where(F.octet_length("text") <= TRAIN_BYTES)
+    order = F.xxhash64("doc_id")
+    chosen = small.select("doc_id", order.alias("order")).orderBy("order", "doc_id").limit(TRAIN_DOCS).distinct()  # only ids are sorted and broadcast
+    rows = small.join(F.broadcast(chosen), "doc_id").select("order", "doc_id", "text").collect()
+    texts = [r["text"] for r in sorted(rows, key=lambda r: (r["order"], r["doc_id"], r["text"]))[:TRAIN_DOCS]]
     spans = [base_spans(t) for t in texts]
     plain = [i for i, s in enumerate(spans) if not s][:TRAIN_PLAIN]
     chosen = sorted([i for i, s in enumerate(spans) if s] + plain)
@@ -245,7 +248,7 @@ def scan(docs: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
     rows = text_rows(docs)
-    return map_arrow(rows, run, f"doc_id {rows.dtypes[0][1]}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return map_arrow(rows, run, f"doc_id {rows.dtypes[0][1]}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string", lambda: held[0].known if held else {})
 
 
 def hidden(text: str, spans: list[tuple[int, int, str, int]], mark: str = "[SECRET]") -> str:
@@ -282,4 +285,4 @@ def redact(docs: DataFrame) -> DataFrame:
             columns[count] = pa.array(sizes, batch.schema.field(count).type)
         return pa.RecordBatch.from_arrays(columns, names)
 
-    return map_arrow(docs, run, docs.schema)
+    return map_arrow(docs, run, docs.schema, lambda: held[0].known if held else {})

@@ -8,7 +8,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-MEMO = 1 << 19
+MEMO = 1 << 17
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -23,6 +23,10 @@ class _WordHashes(dict):
 _words = _WordHashes()
 
 
+def memo() -> dict:
+    return _words
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64 bits."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -33,10 +33,10 @@ from textloom.llm.quality import sample
 
 TRAIN_DOCS = 1200
 TRAIN_BYTES = 1 << 13
-MEMO = 1 << 19
+MEMO = 1 << 17
 PREFIXES = (3, 4, 5, 6)
 #: Code points of texts that are scored together.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 #: Features of smaller weight are dropped from the model.
 LEAST_WEIGHT = 0.02
 _EDGE = ".,;:!?\"'()[]{}|*%$&#-_/<>=+~`^@"
@@ -219,7 +219,7 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: f
 
     rows = text_rows(docs)
     more = ", spans array<struct<start:int,end:int,p:double>>" if spans else ""
-    scored = map_arrow(rows, run, f"doc_id {rows.dtypes[0][1]}, score double{more}")
+    scored = map_arrow(rows, run, f"doc_id {rows.dtypes[0][1]}, score double{more}", lambda: held[0] if held else {})
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *(["spans"] if spans else []))
 
 
