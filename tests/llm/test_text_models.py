@@ -1,0 +1,206 @@
+"""BPE, classifiers, random fields and secrets against plain versions."""
+
+from __future__ import annotations
+
+import hashlib
+import itertools
+import re
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from textloom.llm import bpe, crf, quality, secrets, toxicity
+
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+ENC = bpe.encoding(bpe.read_ranks(RANKS), public_tokenizers.PATTERN)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet=st.sampled_from("ab'st 1é\n\t 　.!\U0001f600"), max_size=80), st.integers(1, 9))
+def test_pieces_encode_as_the_whole(text, size):
+    assert bpe.encode(ENC, text, size) == ENC.encode_ordinary(text)
+    assert "".join(bpe.pieces(text, size)) == text
+
+
+def test_bpe_round_trip(spark):
+    texts = ["Hello <|endoftext|> world", "", None, "naïve \U0001f600 " * 3000, " " * 5000 + "x" * 5000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in bpe.encode_digests(docs, RANKS, public_tokenizers.PATTERN).collect()}
+    plain = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ENC._mergeable_ranks, special_tokens={})
+    for at, text in enumerate(texts):
+        ids = plain.encode_ordinary(text or "")
+        assert rows[at]["n_tokens"] == len(ids)
+        assert rows[at]["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert rows[at]["decoded_sha256"] == hashlib.sha256((text or "").encode()).hexdigest()
+    tokens = bpe.encode_documents(docs, RANKS, public_tokenizers.PATTERN)
+    back = {r["doc_id"]: bytes(r["decoded"]) for r in bpe.decode_documents(tokens, RANKS, public_tokenizers.PATTERN).collect()}
+    assert back == {at: (text or "").encode() for at, text in enumerate(texts)}
+
+
+def test_rank_file_bound(tmp_path, monkeypatch):
+    monkeypatch.setattr(bpe, "MAX_RANK_BYTES", 10)
+    with pytest.raises(ValueError, match="broadcast"):
+        bpe.read_ranks(RANKS)
+
+
+def _brute(scores, first, trans):
+    """Marginals and best path of one batch of sequences by listing all paths."""
+    states, out, best = scores.shape[1], [], []
+    starts = [*np.flatnonzero(first), len(first)]
+    for a, b in itertools.pairwise(starts):
+        paths = list(itertools.product(range(states), repeat=b - a))
+        weight = np.array([sum(scores[a + i, s] for i, s in enumerate(p)) + sum(trans[x, y] for x, y in itertools.pairwise(p)) for p in paths])
+        share = np.exp(weight - weight.max())
+        share /= share.sum()
+        for i in range(b - a):
+            out.append([sum(w for w, p in zip(share, paths, strict=True) if p[i] == s) for s in range(states)])
+        best += paths[int(weight.argmax())]
+    return np.array(out), np.array(best)
+
+
+@pytest.mark.parametrize("states", [2, 3])
+def test_field_against_all_paths(states):
+    rng = np.random.default_rng(states)
+    lengths = [1, 5, 2, 7, 3, 1, 6]
+    first = np.concatenate([[True] + [False] * (n - 1) for n in lengths])
+    scores, trans = rng.normal(0, 2, (len(first), states)), rng.normal(0, 2, (states, states))
+    p, pairs = crf.marginals(scores, first, trans)
+    want, path = _brute(scores, first, trans)
+    assert np.allclose(p, want)
+    assert pairs.sum() == pytest.approx(sum(n - 1 for n in lengths))
+    assert crf.viterbi(scores, first, trans).tolist() == path.tolist()
+
+
+def test_field_on_long_sequences():
+    rng = np.random.default_rng(0)
+    first = np.zeros(40_000, bool)
+    first[[0, 17]] = True
+    scores, trans = rng.normal(0, 1, (40_000, 2)), np.array([[1.0, -1.0], [-1.0, 1.0]])
+    p, _ = crf.marginals(scores, first, trans)
+    alpha = np.zeros((40_000, 2))
+    for t in range(40_000):
+        before = np.ones(2) if first[t] else alpha[t - 1] @ np.exp(trans)
+        alpha[t] = before * np.exp(scores[t])
+        alpha[t] /= alpha[t].sum()
+    assert np.allclose(p[-1], alpha[-1])
+    assert crf.viterbi(scores, first, trans).shape == (40_000,)
+
+
+def test_fit_learns_tags():
+    rng = np.random.default_rng(1)
+    feats = rng.integers(1, 6, (3000, 1))
+    tags = (feats[:, 0] == 3).astype(int)
+    first = rng.random(3000) < 0.05
+    first[0] = True
+    weights, trans = crf.fit(feats, tags, first, 2, 8, rounds=60)
+    assert (crf.viterbi(weights[feats[:, 0]], first, trans) == tags).mean() > 0.99
+
+
+WORDS = [a + b for a in ("ta", "re", "mo", "li", "su") for b in ("nor", "vel", "kin", "das", "tom", "bel")]
+
+
+def corpus(n, bad):
+    rng = np.random.default_rng(7)
+    rows = []
+    for i in range(n):
+        words = list(rng.choice(WORDS, 40))
+        label = int(rng.random() < 0.3)
+        if label:
+            bad(words, rng)
+        rows.append((i, " ".join(words), label))
+    return rows
+
+
+def held_out_accuracy(out, rows):
+    label = {i: y for i, _, y in rows}
+    held = [r for r in out.collect() if r["held_out"]]
+    return sum(r["predicted"] == label[r["doc_id"]] for r in held) / len(held), len(held)
+
+
+def test_toxicity_on_held_out_rows(spark):
+    def bad(words, rng):
+        for at in rng.choice(40, 3, replace=False):
+            words[at] = rng.choice(["zorgish", "Zorgful,", "zorgness"])
+
+    rows = corpus(600, bad)
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    accuracy, n = held_out_accuracy(toxicity.score(docs, labels), rows)
+    assert n > 100
+    assert accuracy > 0.97
+    text = dict((i, t) for i, t, _ in rows)
+    spans = [(r["doc_id"], s) for r in toxicity.score(docs, labels, spans=True).collect() for s in r["spans"]]
+    assert len(spans) > 300
+    assert all(all("zorg" in w.lower() for w in text[i][s["start"] : s["end"]].split()) for i, s in spans)
+
+
+def test_quality_on_held_out_rows(spark):
+    def good(words, rng):
+        for at in range(0, 40, 2):
+            words[at] += rng.choice(["%%%", "$$$"])
+
+    rows = [(i, t, 1 - y) for i, t, y in corpus(600, good)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int")
+    accuracy, n = held_out_accuracy(quality.score(docs, labels), rows)
+    assert n > 100
+    assert accuracy > 0.97
+    kept = {r["doc_id"] for r in quality.accept(docs, labels).collect()}
+    assert kept == {r["doc_id"] for r in quality.score(docs, labels).collect() if r["predicted"]}
+
+
+def test_scores_are_sparse_dot_products():
+    texts = ["a b a b c", "", "One two"]
+    rng = np.random.default_rng(0)
+    weights = rng.normal(size=1 << quality.BITS).astype(np.float32)
+    bins, counts = quality.features(texts)
+    at = 0
+    for text, n, margin in zip(texts, counts, quality.margins(texts, weights, 0.5), strict=True):
+        want = 0.5 + quality.SCALE * weights[bins[:, at : at + n]].astype(float).sum() / max(4 * n, 1)
+        assert margin == pytest.approx(want, abs=1e-4)
+        at += n
+        assert n == len(text.split())
+
+
+def _plain_base(text):
+    out = []
+    pattern = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    out += [(m.start(), 0, m.end()) for m in re.finditer(pattern, text, re.I | re.A) if len(m[2]) >= 12]
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    out += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+    return [(a, b, secrets.KINDS[k]) for a, k, b in sorted(out)]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["token", "PASSWORD", "api_key", "=", ":", '"', "'", " ", "AKIA", "ABCD1234EFGH5678", "deadbeef00", "secret", "ſecret", "é", "\n", "x.y-z+/=12"]), max_size=30))
+def test_base_spans(parts):
+    text = "".join(parts)
+    assert [(a, b, k) for a, b, k, _ in secrets.base_spans(text)] == _plain_base(text)
+
+
+def test_field_adds_what_the_patterns_miss(spark):
+    rng = np.random.default_rng(3)
+    letters = list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+    rows = []
+    for i in range(400):
+        words = list(rng.choice(WORDS, 30))
+        if i % 2:
+            words[10:10] = ["token", "=", '"' + "".join(rng.choice(letters, 32)) + '"']
+        rows.append((i, " ".join(words)))
+    key = "".join(rng.choice(letters, 32))
+    rows.append((1000, f"tanor revel credentials = \"{key}\" mokin"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r["doc_id"]: r for r in secrets.scan(docs).collect()}
+    assert sum(r["n_assign"] for r in out.values()) == 200
+    assert out[1000]["n_assign"] == 0
+    at = rows[-1][1].index(key)
+    assert out[1000]["spans"] == f"crf:{at}:{at + 32}"
+    assert all(r["spans"] == "" for i, r in out.items() if i < 400 and i % 2 == 0)
+    hidden = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
+    assert key not in hidden[1000]
+    assert hidden[1] == rows[1][1].replace(rows[1][1].split('"')[1], "[SECRET]")
+    assert hidden[0] == rows[0][1]

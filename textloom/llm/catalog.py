@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, decontaminate, fingerprint, licenses, near_dup, quality, secrets, sharding, toxicity, warc
+from textloom.llm import bpe, decontaminate, fingerprint, licenses, near_dup, oracles, quality, secrets, sharding, toxicity, warc
 from textloom.llm.common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -62,4 +62,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.ORACLES)

@@ -33,9 +33,9 @@ UNITS = "km|cm|mm|m|kg|mg|g|lb|oz|ml|l|mph|kmh|hours|hour|minutes|minute|seconds
 def marked(text: Column) -> Column:
     """text with a mark before each name and unit."""
     plain = F.translate(F.coalesce(text, F.lit("")), NAME + UNIT + NUMBER, "")
-    names = F.regexp_replace(plain, r"([\p{Ll},;] )(\p{Lu}\p{Ll}+)", f"$1{NAME}$2")
-    names = F.regexp_replace(names, r"(" + NAME + r"\p{Lu}\p{Ll}+)( )(\p{Lu}\p{Ll}+)", "$1$2" + NAME + "$3")
-    return F.regexp_replace(names, rf"(\d ?)({UNITS})([^\p{{L}}\p{{N}}]|$)", f"$1{UNIT}$2$3")
+    names = F.regexp_replace(plain, r"([\p{Ll},;] +)(\p{Lu}\p{Ll}+)", f"$1{NAME}$2")
+    names = F.regexp_replace(names, r"(" + NAME + r"\p{Lu}\p{Ll}+)( +)(\p{Lu}\p{Ll}+)", "$1$2" + NAME + "$3")
+    return F.regexp_replace(names, rf"(\d *)({UNITS})([^\p{{L}}\p{{N}}]|$)", f"$1{UNIT}$2$3")
 
 
 def raw_tokens(mark: Column) -> Column:
@@ -56,7 +56,8 @@ def windows(tokens: str) -> Column:
 
 def evidence(tokens: str) -> Column:
     """Whether each window has enough literal tokens; windows that match are alike, so only items are asked."""
-    return F.expr(f"transform(sequence(1, size({tokens})), i -> size(filter(slice({tokens}, i, {WINDOW}), t -> t > '{NUMBER}')) >= {LITERALS})")
+    places = f"CASE WHEN size({tokens}) > 0 THEN sequence(1, size({tokens})) ELSE array() END"
+    return F.expr(f"transform({places}, i -> size(filter(slice({tokens}, i, {WINDOW}), t -> t > '{NUMBER}')) >= {LITERALS})")
 
 
 def item_windows(items: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -8,8 +8,8 @@ The model is fitted on a bounded sample: at most TRAIN_DOCS labelled documents o
 bytes each, in the order of a hash of the id, none of them held out. Scoring covers every document.
 
 Defined cases: null or empty text scores the bias alone; repeated rows score alike; a document with
-several labels counts with the largest; without usable labels every score is 0.5; other columns of the
-input, even with clashing names, are never read.
+several labels counts with the largest; without usable labels every score is 0.5 and accept() rejects
+nothing; other columns of the input, even with clashing names, are never read.
 """
 
 from __future__ import annotations
@@ -121,8 +121,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, most: int, limit_byte
     return texts.join(F.broadcast(chosen), "doc_id")
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> tuple[np.ndarray, float]:
-    """(weights, bias) fitted on the driver over sparse features that the executors make."""
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> tuple[np.ndarray, float] | None:
+    """(weights, bias) fitted on the driver over sparse features that the executors make; None without labelled documents."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column(1).to_pylist()
@@ -138,6 +138,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> tuple[n
 
     chosen = sample(docs, labels, label, TRAIN_DOCS, TRAIN_BYTES).select("doc_id", "text", "label")
     rows = map_arrow(chosen, run, f"doc_id {chosen.dtypes[0][1]}, label int, at array<int>, share array<float>", memo).toArrow()
+    if not rows.num_rows:
+        return None
     model = Ftrl()
     order = sorted(range(rows.num_rows), key=lambda i: (zlib.crc32(str(rows.column(0)[i].as_py()).encode()), i))
     each = [(rows.column(2)[i].values.to_numpy(), rows.column(3)[i].values.to_numpy().astype(float), float(rows.column(1)[i].as_py())) for i in order]
@@ -150,8 +152,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> tuple[n
 
 def score(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.7) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every document."""
-    weights, bias = train(docs, labels, label)
-    model = docs.sparkSession.sparkContext.broadcast((weights, bias))  # 2**BITS floats: 1 MB
+    fitted = train(docs, labels, label) or (np.zeros(1 << BITS, np.float32), 0.0)
+    model = docs.sparkSession.sparkContext.broadcast(fitted)  # 2**BITS floats: 1 MB
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         p = 1 / (1 + np.exp(-np.clip(margins(batch.column(1).to_pylist(), *model.value), -35, 35)))
@@ -164,8 +166,10 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold:
 
 def accept(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.7) -> DataFrame:
     """The documents, all columns, whose score reaches the threshold."""
-    weights, bias = train(docs, labels, label)
-    model = docs.sparkSession.sparkContext.broadcast((weights, bias))
+    fitted = train(docs, labels, label)
+    if fitted is None:
+        return docs
+    model = docs.sparkSession.sparkContext.broadcast(fitted)
     names = docs.columns
     at = names.index("text")
 

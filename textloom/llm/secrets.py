@@ -99,7 +99,7 @@ class Signatures(dict):
 
 def bins(name: str) -> list[int]:
     """Feature bins of a signature: for the token itself, for the token after it, the one after that, and the one before."""
-    short = name if name[0] in "kp" else name[:6]
+    short = "k" if name[0] == "k" else name if name[0] == "p" else name[:6]  # words of credentials are one class to their neighbours
     return [_bin("o", name), _bin("c", name.split("e")[0]), _bin("1", short), _bin("2", short), _bin("r", short)]
 
 
@@ -172,7 +172,7 @@ def train(docs: DataFrame) -> dict | None:
     feats = np.column_stack((table[numbers, 0], table[numbers, 1], one, two, right, 1 + files))
     forbidden = np.zeros((3, 3), bool)
     forbidden[OUT, INSIDE] = True
-    weights, trans = crf.fit(feats, np.array(tags), first, 3, 1 << BITS, rounds=30, forbidden=forbidden)
+    weights, trans = crf.fit(feats, np.array(tags), first, 3, 1 << BITS, rounds=50, forbidden=forbidden)
     return {"weights": weights.astype(np.float32), "trans": trans}
 
 

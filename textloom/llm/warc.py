@@ -118,6 +118,12 @@ def parse_record(data: bytes, at: int) -> tuple[dict | None, int, str]:
     return found, end + 4, ""
 
 
+def _heads(data: bytes, at: int) -> bool:
+    """Whether a version line heads a sound record or, at the start of a line, one whose extent is sound."""
+    record, end, _ = parse_record(data, at)
+    return record is not None or (end > at and data[at - 1 : at] == b"\n")
+
+
 def parse_plain(data: bytes) -> Iterator[dict]:
     """Records and gaps of an uncompressed archive."""
     at = 0
@@ -126,9 +132,9 @@ def parse_plain(data: bytes) -> Iterator[dict]:
         if record:
             yield record
         else:
-            if end == at:  # the length can't be trusted: the next version line at a line's start that heads a whole record
+            if end == at:  # the length can't be trusted: the next version line that heads a record
                 follow = _VERSION.search(data, at + 1)
-                while follow and (data[follow.start() - 1 : follow.start()] != b"\n" or parse_record(data, follow.start())[1] == follow.start()):
+                while follow and not _heads(data, follow.start()):
                     follow = _VERSION.search(data, follow.start() + 1)
                 end = follow.start() if follow else len(data)
             yield _gap(at, end, reason)
