@@ -44,17 +44,18 @@ def not_ascii(name: str) -> Column:
     return F.ascii(name) >= 0x7F
 
 
+#: Repeated groups are possessive, as Java runs those in a loop and others by recursion.
 TOKEN_CLASSES = (
     ("singleQuotes", "'{2}"),
     ("reference", r"[\]\[]{2,}"),
     ("title_mark", "={2,}"),
     ("curly", r"[{}]{2,}"),
-    ("proper", r"(?:de )?[A-Z][a-z]+(?:[ -][A-Z][a-z]+)*(?![A-Za-z])"),
+    ("proper", r"(?:de )?[A-Z][a-z]+(?![A-Za-z])(?:[ -][A-Z][a-z]+(?![A-Za-z]))*+"),
     ("weirdCase", "[A-Za-z]*[A-Z][A-Za-z]*"),
     ("xml", r"<(?:/)?\w+>"),
     ("date", r"(?<!\d[. ])\d+(?![. ]\d)"),
-    ("words", r"\w+(?:-\w+)*"),
-    ("html_encoded", r"'(?:&#\d+;)+"),
+    ("words", r"\w+(?:-\w+)*+"),
+    ("html_encoded", r"'(?:&#\d+;)++"),
     ("whitespaces", " +"),
     ("ellipsis", r"\.{3}"),
     ("sentences_markers", "[,.]"),

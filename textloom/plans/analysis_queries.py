@@ -142,8 +142,9 @@ def _spare(pattern: str) -> str:
 
 
 _SUBS = "SELECT unnest(flatten([[substr(s, i, k) for i in range(1, length(s) - k + 2)] for k in range({low}, {high} + 1)])) AS {name} FROM rows_"
-_kind = "CASE " + " ".join(f"WHEN regexp_full_match(k, '{p.replace(chr(39), chr(39) * 2).replace(chr(92) + 'v', chr(92) + 'n')}', 's') THEN '{n}'" for n, p in CLASSES) + " END"
-_joined = "|".join(p for _, p in CLASSES).replace("'", "''").replace(r"\v", r"\n")
+_plain = lambda p: p.replace("*+", "*").replace("++", "+").replace("'", "''").replace(r"\v", r"\n")  # noqa: E731  RE2 has no possessive repeats and needs none
+_kind = "CASE " + " ".join(f"WHEN regexp_full_match(k, '{_plain(p)}', 's') THEN '{n}'" for n, p in CLASSES) + " END"
+_joined = "|".join(_plain(p) for _, p in CLASSES)
 _state = r"CASE WHEN regexp_full_match(c, '\p{L}') THEN 'letter' WHEN regexp_full_match(c, '\p{Nd}') THEN 'digit' ELSE c END"
 
 ORACLES = {
