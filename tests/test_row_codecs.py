@@ -125,3 +125,16 @@ def test_blocks(spark):
         assert len(coded["x"]) < len(text)
         assert len(coded["x"]) <= 4 * most
         assert all(len(new) == 2 < len(old) for old, new in rules)
+
+
+def test_reuse_distance(spark):
+    text = "a b c a a b d c the a b c the"
+    df = spark.createDataFrame([(1, text), (2, ""), (3, None), (4, "x y")], "i int, text string")
+    tokens = text.split()
+    want = []
+    for p, t in enumerate(tokens):
+        before = [q for q in range(p) if tokens[q] == t]
+        if before:
+            want.append((1, p, t, len(set(tokens[before[-1] + 1 : p]))))
+    for f in (backref.reuse_distance, backref.reuse_distance_relational):
+        assert sorted(tuple(r) for r in f(df, "i", F.col("text")).collect()) == want

@@ -2,15 +2,16 @@
 
 The state is a bounded move-to-end list for one row, so rows are independent and memory is bounded by the
 window; decisions depend on all words before, which no set operation expresses. The distance that the stem
-codec emits does have a relational form, reuse_distance().
+codec emits also has a relational form.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from pyspark.sql.functions import pandas_udf
 
 from textloom.functions.primitives import matches
 from textloom.operators import lancaster
+from textloom.session import ship_package
 
 WINDOW = 1024
 _L = r"\p{Script=Latin}"
@@ -163,15 +165,59 @@ def per_row(function, *args) -> Column:  # noqa: ANN001
     return run
 
 
-def reuse_distance(df: DataFrame, id_col: str, text: Column, pattern: str = r"\w+", most: int | None = None) -> DataFrame:
-    """(id, pos, token, distance): distinct tokens since the token's previous use in its row.
+def distances(tokens: Sequence[str]) -> Iterator[tuple[int, int]]:
+    """(place, distinct tokens since the token's previous use) of each repeated token, by a binary indexed tree over last uses."""
+    size = len(tokens)
+    tree, last = [0] * (size + 1), {}
+
+    def add(at: int, by: int) -> None:
+        at += 1
+        while at <= size:
+            tree[at] += by
+            at += at & -at
+
+    def upto(at: int) -> int:
+        total = 0
+        at += 1
+        while at:
+            total += tree[at]
+            at -= at & -at
+        return total
+
+    for at, token in enumerate(tokens):
+        before = last.get(token)
+        if before is not None:
+            yield at, upto(at) - upto(before)
+            add(before, -1)
+        add(at, 1)
+        last[token] = at
+
+
+def reuse_distance(df: DataFrame, id_col: str, text: Column, pattern: str = r"\w+") -> DataFrame:
+    """(id, pos, token, distance): distinct tokens since the token's previous use in its row, whole rows, in Arrow batches."""
+    rows = df.select(id_col, matches(F.lower(text), pattern).alias("tokens"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                tokens = batch.column(1)[row].as_py() or []
+                found = list(distances(tokens))
+                if found:
+                    place, far = zip(*found, strict=True)
+                    ids = pa.array([batch.column(0)[row].as_py()] * len(place), batch.schema.field(0).type)
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(place, pa.int32()), pa.array([tokens[p] for p in place]), pa.array(far, pa.int64())], [id_col, "pos", "token", "distance"])
+
+    ship_package(df.sparkSession)
+    return rows.mapInArrow(run, f"{id_col} {rows.dtypes[0][1]}, pos int, token string, distance long")
+
+
+def reuse_distance_relational(df: DataFrame, id_col: str, text: Column, pattern: str = r"\w+") -> DataFrame:
+    """As reuse_distance, by joins alone; for short rows, as its work grows with the square of a row.
 
     A token at p with last use q has seen, in between, as many distinct tokens as there are places after q
     whose own next use is not before p; an equi-join on the row with a range filter, rows apart.
     """
     tokens = df.select(id_col, F.posexplode(matches(F.lower(text), pattern)).alias("pos", "token"))
-    if most is not None:
-        tokens = tokens.where(F.col("pos") < most)
     per_token = Window.partitionBy(id_col, "token").orderBy("pos")
     seen = tokens.select(id_col, "pos", "token", F.lag("pos").over(per_token).alias("before"), F.lead("pos").over(per_token).alias("after"))
     uses = seen.where("before IS NOT NULL").select(F.col(id_col).alias("row"), F.col("pos").alias("p"), F.col("token").alias("used"), F.col("before").alias("q"))

@@ -51,11 +51,11 @@ def apply(text: str, fields: list[str]) -> str:
     return text
 
 
-def fields(text: Column, longest: int = 20_000) -> Column:
-    """The dictionary of each row, joined by `|`; the search is quadratic in a row, so longer rows have none."""
+def fields(text: Column) -> Column:
+    """The dictionary of each row, joined by `|`."""
 
     @pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else "|".join(f for f, _ in grow(t)) if len(t) <= longest else "")
+        return texts.map(lambda t: None if t is None else "|".join(f for f, _ in grow(t)))
 
     return run(text)

@@ -195,13 +195,9 @@ def distinct_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Back-references and blocks
 
 
-@query(r"""
-    WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\w+')) AS token, generate_subscripts(regexp_extract_all(lower(text), '\w+'), 1) - 1 AS pos FROM documents),
-    s AS (SELECT *, lag(pos) OVER w AS before, lead(pos) OVER w AS after FROM t WHERE pos < 400 WINDOW w AS (PARTITION BY doc_id, token ORDER BY pos))
-    SELECT a.doc_id, a.pos::INT AS pos, a.token, count(DISTINCT b.token) AS distance FROM s a LEFT JOIN s b ON a.doc_id = b.doc_id AND b.pos > a.before AND b.pos < a.pos
-    WHERE a.before IS NOT NULL GROUP BY ALL""")
+@query()
 def reuse_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return backref.reuse_distance(docs(spark, sf_dir), "doc_id", F.col("text"), most=400)
+    return backref.reuse_distance(docs(spark, sf_dir), "doc_id", F.col("text"))
 
 
 @query("""
