@@ -39,12 +39,12 @@ def marked(text: Column) -> Column:
 
 
 def raw_tokens(mark: Column) -> Column:
-    return F.regexp_extract_all(mark, F.lit(rf"[{NAME}{UNIT}]?[\p{{L}}\p{{M}}]+|\d+(?:[.,]\d+)*"), 0)
+    return F.regexp_extract_all(mark, F.lit(rf"[{NAME}{UNIT}]?[\p{{L}}\p{{M}}]+|\d+(?:[.,]\d+)*+"), 0)
 
 
 def template_tokens(mark: Column) -> Column:
     """As raw_tokens, placeholders by their type and words in lower case."""
-    short = F.regexp_replace(F.regexp_replace(mark, rf"([{NAME}{UNIT}])[\p{{L}}\p{{M}}]+", "$1"), r"\d+(?:[.,]\d+)*", NUMBER)
+    short = F.regexp_replace(F.regexp_replace(mark, rf"([{NAME}{UNIT}])[\p{{L}}\p{{M}}]+", "$1"), r"\d+(?:[.,]\d+)*+", NUMBER)
     return F.regexp_extract_all(F.lower(short), F.lit(rf"[{NAME}{UNIT}{NUMBER}]|[\p{{L}}\p{{M}}]+"), 0)
 
 

@@ -47,7 +47,7 @@ TEMPLATES = (
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0 Universal."),
     ("Unlicense", "This is free and unencumbered software released into the public domain. The Unlicense."),
 )
-TERM = r"[a-z]+|[0-9]+(?:\.[0-9]+)*"
+TERM = r"[a-z]+|[0-9]+(?:\.[0-9]+)*+"
 #: A line is about licenses if it has one of these.
 CUE = r"(?i)licen[cs]e|copyright|public domain|redistribution and use|permission is hereby|CC0"
 THRESHOLD = 0.6
