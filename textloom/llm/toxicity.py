@@ -16,6 +16,7 @@ is 0; other columns of the input are never read.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
@@ -119,14 +120,18 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 60,
     return w
 
 
-def seeds(docs: list[list[str]], labels: list[int], least: int = 4, sigmas: float = 4.5) -> set[tuple[int, str]]:
-    """(prefix length or 0, text) of words and prefixes far more common in toxic documents than elsewhere."""
+def seeds(docs: list[list[str]], labels: list[int], least: int = 4, share: float = 0.02, sigmas: float = 4.5) -> set[tuple[int, str]]:
+    """(prefix length or 0, text) of words and prefixes far more common in toxic documents than elsewhere.
+
+    One must be in a share of the toxic documents, as rare words of a few copies of one text are no evidence.
+    """
     counts = {0: Counter(), 1: Counter()}
     for words, label in zip(docs, labels, strict=True):
         found = {(0, w) for w in map(normal, words) if w}
         found |= {(k, w[:k]) for _, w in list(found) for k in PREFIXES if k > 3 and len(w) > k}
         counts[label].update(found)
     n = max(1, sum(labels)), max(1, len(labels) - sum(labels))
+    least = max(least, math.ceil(share * n[0]))
     out = set()
     for key, a in counts[1].items():
         expected = (counts[0][key] + 0.5) / n[1] * n[0]
