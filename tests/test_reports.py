@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from textloom.operators import analysis as A
 from textloom.operators import encode, sequence, sketch
 from textloom.sources import files, wiki_dump
+from textloom.streaming.count_min import CountMin, stream_estimates
 from textloom.streaming.topk import TopK, stream_top_k
 
 PAGES = [
@@ -206,3 +207,58 @@ def test_parity(spark):
     for s in range(3):
         own = [r for r in rows if r["seq_id"] == s]
         assert [r["target"] for r in own] == [sum(x["bit"] for x in own[: i + 1]) % 2 for i in range(5)]
+
+
+def test_likely_substrings(spark):
+    text = "ab1 ba2"
+    df = spark.createDataFrame([(text,)], "t string")
+    state = lambda c: "letter" if c.isalpha() else "digit" if c.isdigit() else c
+    states = [state(c) for c in text]
+    moves = list(zip(states, states[1:]))  # noqa: B905
+
+    def chance(sub):
+        p = float(state(sub[0]) == states[0])
+        for i, c in enumerate(sub):
+            p *= text.count(c) / states.count(state(c))
+            if i:
+                pair = (state(sub[i - 1]), state(c))
+                p *= moves.count(pair) / sum(m[0] == pair[0] for m in moves)
+        return p
+
+    subs = {text[i : i + k] for k in range(1, 4) for i in range(len(text) - k + 1)}
+    want = {s: math.log(chance(s)) for s in subs if chance(s) > 0}
+    found = {r["sub"]: r["log_likelihood"] for r in sequence.likely_substrings(df, F.col("t"), 3, 100).collect()}
+    assert found == {s: pytest.approx(p) for s, p in want.items()}
+
+
+def test_generation():
+    rng = np.random.default_rng(3)
+    alphabet, data = sequence.text_steps(["ab", "ab", "ab"])
+    trainer = sequence.Trainer(sequence.network("gru", 3, 6, 1, 3, rng), rate=0.05)
+    for _ in range(60):
+        trainer.run(data)
+    assert sequence.generate(trainer.model, alphabet, rng, temperature=0) == "ab"
+    assert set(sequence.generate(trainer.model, alphabet, rng, 1.0, words={"ab", "a"}).split()) <= {"ab", "a"}
+
+
+def test_pattern_aliases(spark):
+    df = spark.createDataFrame([("<<<word>>> and more <<<other>>> text; " * 20,)], "t string")
+    rows = sketch.pattern_aliases(df, F.col("t")).collect()
+    assert rows
+    assert all(r["benefit"] == r["n"] * (len(r["pattern"]) - 4) > 0 for r in rows)
+    assert len({r["alias"] for r in rows}) == len(rows)
+
+
+def test_count_min_of_a_stream(spark, tmp_path):
+    a, b = CountMin(30, 4), CountMin(30, 4)
+    for i in range(500):
+        (a if i % 2 else b).add(str(i % 41))
+    both = CountMin.from_bytes(a.merge(b).to_bytes())
+    assert all(both.estimate(str(k)) >= sum(i % 41 == k for i in range(500)) for k in range(41))
+    with pytest.raises(ValueError, match="shapes"):
+        a.merge(CountMin(31, 4))
+    spark.createDataFrame([("g", k) for k in "aabbbc"], "g string, k string").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("g string, k string").parquet(str(tmp_path / "in"))
+    query = stream_estimates(stream, "g", "k").writeStream.format("memory").queryName("cms").outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert {r["k"]: r["estimate"] for r in spark.table("cms").collect()} == {"a": 2, "b": 3, "c": 1}

@@ -24,7 +24,7 @@ WORDS = {
 STEMS = {
     "Anarchy oui anarchism non anarchist benoit anarchists": "Anarchy oui anarchism non >0ist benoit >0ists",
     "originated anarchy Revolution. anarched...": "originated anarchy Revolution. >0ed...",
-    "[[sans-culotte|''sans-culottes'']]": "[[sans-culotte|''>1s->1tes'']]",
+    "[[sans-culotte|sans-culottes]]": "[[sans-culotte|>1s->1tes]]",
     "123<ref>456": "123<ref>>456",
     "123<<ref>>456": "123<<ref>>>456",
     "Henry, <<br>>Henrique": "Henry, <<br>>>Henrique",

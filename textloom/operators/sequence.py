@@ -48,6 +48,54 @@ def hmm_fit(df: DataFrame, text: Column) -> DataFrame:
     return counted.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("kind", "from_state")))
 
 
+def likely_substrings(df: DataFrame, text: Column, longest: int = 5, most: int = 30) -> DataFrame:
+    """(sub, log_likelihood): distinct substrings of 1 to `longest` characters, likeliest first under hmm_fit(df, text)."""
+    model = hmm_fit(df, text).select("kind", "from_state", "to", F.log("p").alias("lp"))
+    shown = model.where("kind = 'emission'").select(F.col("to").alias("c"), F.col("from_state").alias("s"), F.col("lp").alias("emit"))
+    begun = model.where("kind = 'initial'").select(F.col("to").alias("s"), F.col("lp").alias("begin"))
+    moved = model.where("kind = 'transition'").select(F.col("from_state").alias("before"), F.col("to").alias("s"), F.col("lp").alias("move"))
+    each = [f"transform(CASE WHEN length(t) >= {k} THEN sequence(1, length(t) - {k - 1}) ELSE array() END, i -> substring(t, i, {k}))" for k in range(1, longest + 1)]
+    subs = df.select(text.alias("t")).select(F.explode(F.array_distinct(F.expr(f"concat({', '.join(each)})"))).alias("sub")).distinct()
+    letters = subs.select("sub", F.posexplode(code_points(F.col("sub"))).alias("at", "c")).join(shown, "c")
+    letters = letters.withColumn("before", F.lag("s").over(Window.partitionBy("sub").orderBy("at")))
+    scored = letters.join(begun, "s", "left").join(moved, ["before", "s"], "left")
+    step = F.col("emit") + F.when(F.col("at") == 0, F.col("begin")).otherwise(F.col("move"))
+    total = scored.groupBy("sub").agg(F.sum(step).alias("log_likelihood"), F.count(step).alias("known"), F.count("*").alias("size")).where("known = size")
+    return total.select("sub", "log_likelihood").orderBy(F.desc("log_likelihood"), "sub").limit(most)
+
+
+def text_steps(lines: Sequence[str]) -> tuple[list[str], list[list[tuple[np.ndarray, np.ndarray]]]]:
+    """(alphabet, sequences) of one-hot steps; index 0 is the start and the end of a line, a step's target is the next character."""
+    alphabet = ["", *dict.fromkeys(c for line in lines for c in line)]
+    hot = np.eye(len(alphabet))
+    number = {c: i for i, c in enumerate(alphabet)}
+    codes = [[0, *(number[c] for c in line), 0] for line in lines]
+    return alphabet, [[(hot[a], hot[b]) for a, b in zip(code, code[1:])] for code in codes]  # noqa: B905
+
+
+def generate(model: Network, alphabet: Sequence[str], rng: np.random.Generator, temperature: float = 1.0, longest: int = 200, words: set[str] | None = None) -> str:
+    """A line of text: sampled, or by arg-max at temperature 0; with words, only prefixes of those are continued."""
+    model.reset()
+    at, out = 0, ""
+    for _ in range(longest):
+        logits = model(np.eye(len(alphabet))[at]).value
+        if words is not None:
+            open_word = out.rpartition(" ")[2]
+            fits = [any(w.startswith(open_word + c) for w in words) if c not in ("", " ") else open_word in words for c in alphabet]
+            logits = np.where(fits, logits, -np.inf)
+            if not any(fits):
+                break
+        if temperature == 0:
+            at = int(logits.argmax())
+        else:
+            e = np.exp((logits - logits.max()) / temperature)
+            at = int(rng.choice(len(alphabet), p=e / e.sum()))
+        if at == 0:
+            break
+        out += alphabet[at]
+    return out
+
+
 def parity(spark, sequences: int, length: int, seed: int = 42) -> DataFrame:  # noqa: ANN001
     """(seq_id, step, bit, target): target is the parity of the bits so far."""
     steps = spark.range(sequences).select(F.col("id").alias("seq_id"), F.explode(F.sequence(F.lit(0), F.lit(length - 1))).alias("step"))

@@ -80,6 +80,26 @@ def approximate_top_k(df: DataFrame, key: str, k: int) -> DataFrame:
     return df.agg(F.expr(f"approx_top_k({key}, {k})").alias("t")).select(F.explode("t").alias("t")).select(F.col("t.item").alias(key), F.col("t.count").alias("n"))
 
 
+def pattern_aliases(df: DataFrame, text: Column, most: int = 100) -> DataFrame:
+    """(pattern, alias, n, benefit): short forms for common skeleton patterns with one word, none of which the corpus holds.
+
+    Only patterns of the first 80 % of all occurrences are asked for; the best gets the first free form.
+    """
+    from textloom.operators.analysis import symbol_patterns
+
+    mined = symbol_patterns(df, text)
+    one = F.length(F.regexp_replace("pattern", "[^wz]", "")) == 1
+    wanted = common_part(mined.where("n > 1").select("pattern", "n"), "pattern").where(one)
+    marks, pairs = "!?#_-|", ("()", "{}", "[]", "__", "--", "||")
+    forms = [(f"{p[0]}{m}{k}{p[1]}",) for k in "wz" for p in pairs for m in marks]
+    free = df.sparkSession.createDataFrame(forms, "alias string").join(mined.select(F.col("pattern").alias("alias")), "alias", "left_anti")
+    free = free.withColumn("letter", F.regexp_replace("alias", "[^wz]", "")).withColumn("k", F.row_number().over(Window.partitionBy("letter").orderBy("alias")))
+    paying = wanted.withColumn("letter", F.regexp_replace("pattern", "[^wz]", "")).withColumn("benefit", F.col("n") * (F.length("pattern") - 4)).where("benefit > 0")
+    best = paying.orderBy(F.desc("benefit"), "pattern").limit(most)
+    best = best.withColumn("k", F.row_number().over(Window.partitionBy("letter").orderBy(F.desc("benefit"), "pattern")))
+    return best.join(free, ["letter", "k"]).select("pattern", "alias", "n", "benefit")
+
+
 def common_part(counted: DataFrame, key: str, percent: int = 80) -> DataFrame:
     """Keys in the order (n desc, key) up to the cumulative share; counted is a report that was already reduced."""
     order = Window.orderBy(F.desc("n"), key).rowsBetween(Window.unboundedPreceding, -1)

@@ -104,6 +104,10 @@ def hmm_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.hmm_fit(docs(spark, sf_dir), F.col("text")).select("kind", "from_state", "to", "n", F.round("p", 9).alias("p"))
 
 
+def likely_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.likely_substrings(table(spark, sf_dir, "benchmark"), F.col("text"))
+
+
 def story_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = table(spark, sf_dir, "conversations").select("role", F.explode(A.word_tokens(F.col("text"))).alias("word"))
     return said.groupBy("role", "word").agg(F.count("*").alias("n"))
@@ -114,7 +118,7 @@ QUERIES = {
     for f in (
         word_freq, word_page_freq, word_burstiness, mixed_case_words, char_freq, char_page_freq, char_burstiness, codepoint_freq, unused_codepoints,
         token_class_transitions, token_class_transitions_all, ngram_count, symbol_pattern_mining, separator_mining, separator_stats, compact_words,
-        can_spare, char_vocab, perplexity, hmm_fit, story_vocab,
+        can_spare, char_vocab, perplexity, hmm_fit, likely_substrings, story_vocab,
     )
 }
 

@@ -290,6 +290,11 @@ def cms_pattern_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.common_part(found, "pattern")
 
 
+@query()
+def pattern_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.pattern_aliases(table(spark, sf_dir, "pages"), F.col("html"))
+
+
 # Encoders
 
 
