@@ -9,6 +9,7 @@ from textloom.functions.codecs import can_spare, compact_words, html_unescape
 from textloom.functions.primitives import code_points, matches
 
 TOP = 100
+MAX_SEPARATORS = 1000
 
 
 def top(df: DataFrame, score: str, key: str, most: int = TOP) -> DataFrame:
@@ -116,7 +117,12 @@ def separators(df: DataFrame, text: Column, longest: int = 12) -> DataFrame:
 
 
 def separator_stats(df: DataFrame, row: str, text: Column, seps: DataFrame) -> DataFrame:
-    """(sep, n, lo, hi, mean, sd, score) of the places of each separator's occurrences that do not overlap, within a row."""
+    """(sep, n, lo, hi, mean, sd, score) of the places of each separator's occurrences that do not overlap, within a row.
+
+    seps is a report of at most MAX_SEPARATORS rows, which is checked before it is broadcast.
+    """
+    if seps.limit(MAX_SEPARATORS + 1).count() > MAX_SEPARATORS:
+        raise ValueError(f"more than {MAX_SEPARATORS} separators")
     pieces = df.select(row, text.alias("s")).join(F.broadcast(seps.select("sep")), F.contains("s", "sep"))
     parts = pieces.select(row, "sep", F.split("s", F.concat(F.lit(r"\Q"), F.col("sep"), F.lit(r"\E")), -1).alias("gaps"), F.length("sep").alias("len"))
     ends = F.aggregate(

@@ -102,6 +102,7 @@ def pattern_aliases(df: DataFrame, text: Column, most: int = 100) -> DataFrame:
 
 def common_part(counted: DataFrame, key: str, percent: int = 80) -> DataFrame:
     """Keys in the order (n desc, key) up to the cumulative share; counted is a report that was already reduced."""
-    order = Window.orderBy(F.desc("n"), key).rowsBetween(Window.unboundedPreceding, -1)
-    total = counted.agg(F.sum("n").alias("total"))
-    return counted.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0))).crossJoin(F.broadcast(total)).where(f"100 * before < {percent} * total").select(key, "n")
+    order = Window.orderBy(F.desc("n"), key)
+    before, all_ = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    shares = counted.select(key, "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"), F.sum("n").over(all_).alias("total"))
+    return shares.where(f"100 * before < {percent} * total").select(key, "n")
