@@ -110,7 +110,8 @@ class Ftrl:
 def sample(docs: DataFrame, labels: DataFrame, label: str, most: int, limit_bytes: int, value: Column | None = None) -> DataFrame:
     """At most `most` labelled documents (doc_id, text, label) that are not held out, by a hash of the id.
 
-    Only ids and labels are sorted and broadcast, most of them, so the broadcast has a fixed bound.
+    Only ids and labels are sorted and broadcast, at most `most` of them, so the broadcast has a fixed
+    bound; an id that many rows share gives one text, so the sample has one too.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     known = known.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label"))
@@ -118,7 +119,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, most: int, limit_byte
         known = known.where(value)
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     texts = text_rows(docs).where(F.octet_length("text") <= limit_bytes)
-    return texts.join(F.broadcast(chosen), "doc_id")
+    found = texts.join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> tuple[np.ndarray, float] | None:

@@ -145,7 +145,8 @@ def train(docs: DataFrame) -> dict | None:
     small = text_rows(docs).where(F.octet_length("text") <= TRAIN_BYTES)
     order = F.xxhash64("doc_id")
     chosen = small.select("doc_id", order.alias("order")).orderBy("order", "doc_id").limit(TRAIN_DOCS).distinct()  # only ids are sorted and broadcast
-    rows = small.join(F.broadcast(chosen), "doc_id").select("order", "doc_id", "text").collect()
+    found = small.join(F.broadcast(chosen), "doc_id").groupBy("order", "doc_id").agg(F.min("text").alias("text"))  # one text for an id that many rows share
+    rows = found.select("order", "doc_id", "text").collect()
     texts = [r["text"] for r in sorted(rows, key=lambda r: (r["order"], r["doc_id"], r["text"]))[:TRAIN_DOCS]]
     spans = [base_spans(t) for t in texts]
     plain = [i for i, s in enumerate(spans) if not s][:TRAIN_PLAIN]
