@@ -146,6 +146,35 @@ def test_fingerprints_over_many_blocks(spark, monkeypatch):
         assert out[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
 
 
+def test_one_id_with_many_rows(spark, monkeypatch):
+    from textloom.llm import ranks
+
+    monkeypatch.setattr(ranks.block_columns, "__defaults__", (2,))
+    rng = random.Random(4)
+    for frequent in (0, 25, 99):
+        ids = [frequent] * 50 + rng.sample([i for i in range(100) if i != frequent], 50) + [None] * 6
+        texts = ["".join(rng.choice("abcdefgh") for _ in range(30)) for _ in ids]
+        docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+        wide, block = ranks.block_columns(docs, "doc_id", F.xxhash64("text"))
+        assert docs.groupBy(wide, block).count().agg(F.max("count")).first()[0] < 20
+        follow = {hashlib.sha256((a[:20] + b[:10]).encode()).hexdigest(): (i, j) for i, a in enumerate(texts) for j, b in enumerate(texts)}
+        after = dict(follow[r["edited_sha256"]] for r in fingerprint.fingerprints(docs).collect())
+        assert sorted(after) == sorted(after.values()) == list(range(len(ids)))
+        seen = []
+        start = next(i for i in after if (ids[i] or 0) == max(x or 0 for x in ids) and ids[next(k for k, v in after.items() if v == i)] is None)
+        at = start
+        for _ in ids:
+            seen.append(ids[at])
+            at = after[at]
+        assert at == start
+        assert seen == sorted((i for i in ids if i is not None), reverse=True) + [None] * 6
+        rows = sharding.assign(docs, [1.0] * 3).collect()
+        for shard in {r["shard"] for r in rows}:
+            own = sorted((r for r in rows if r["shard"] == shard), key=lambda r: r["slot"])
+            assert [r["slot"] for r in own] == list(range(len(own)))
+            assert [r["doc_id"] for r in own] == sorted((r["doc_id"] for r in own), key=lambda i: (i is None, i))
+
+
 def test_shards(spark):
     docs = spark.createDataFrame([(i, f"text {i}" * (i % 9)) for i in range(3000)], "doc_id long, text string")
     rows = sharding.assign(docs, [1.0] * 8).collect()

@@ -6,7 +6,8 @@ ends (the JVM's own Unicode library, called as an SQL function). The fingerprint
 canonical bytes are compared, so a likeness of 1 is never a collision. Exact digests know only 0 and 1.
 
 Defined cases: a null text is the empty text; texts that differ in case, white space or normal form only
-are equal; documents with equal ids are ordered by text; a null id comes last in the descending order, in
+are equal; documents with equal ids follow each other, by text or, where an
+id is frequent, by a hash; a null id comes last in the descending order, in
 blocks by a hash; a single document is its own neighbour; only native functions are used.
 """
 
