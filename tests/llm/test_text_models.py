@@ -138,6 +138,34 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(all("zorg" in w.lower() for w in text[i][s["start"] : s["end"]].split()) for i, s in spans)
 
 
+def test_toxicity_of_a_word_depends_on_its_neighbours(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(600):
+        words, label = list(rng.choice(WORDS, 40)), int(rng.random() < 0.4)
+        at = int(rng.integers(1, 39))
+        if label:
+            words[at - 1 : at + 1] = ["tanor", "blatish"]
+        elif rng.random() < 0.2:
+            words[at - 1 : at + 1] = ["suvel", "blatish"]
+        rows.append((i, " ".join(words), label))
+    rows += [(1000, "mokin tanor blatish redas litom", 0), (1001, "mokin suvel blatish redas litom", 0)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows if i < 1000], "doc_id long, toxic int")
+    out = {r["doc_id"]: r for r in toxicity.score(docs, labels, spans=True).where("doc_id >= 1000").collect()}
+    assert [(s["start"], s["end"]) for s in out[1000]["spans"]] == [(12, 19)]
+    assert out[1001]["spans"] == []
+    assert out[1000]["score"] > out[1001]["score"]
+
+
+def test_neighbours_are_those_of_the_same_text():
+    gaps = {kind: {} for kind in ("w", "s", "h", "b", *toxicity.PREFIXES)} | {"lw": {"ab": 1.0}, "lp": {"ab": 0.5}, "rw": {"cd": 4.0}, "rp": {"abcd": 8.0}}
+    emissions = toxicity.Emissions(gaps)
+    words = [["ab", "cd"], ["ab"], ["cd", "ab", "abcde"]]
+    first = np.array([True, False, True, True, False, False])
+    assert emissions.scores(words, first).tolist() == [4.0, 1.5, 0.0, 0.0, 8.0, 1.5]
+
+
 def test_quality_on_held_out_rows(spark):
     def good(words, rng):
         for at in range(0, 40, 2):

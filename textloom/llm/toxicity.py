@@ -3,7 +3,7 @@
 Labels exist for documents only, so the training tokens are labelled from them: in a toxic training
 document, a token is toxic if its word or a prefix of it occurs in far more toxic training documents than
 chance allows; all other tokens are not. The field learns from these tokens (own word, prefixes, suffix,
-shape; transitions to the neighbours), its forward-backward marginals are summed up by document, and a
+shape; both neighbours; transitions), its forward-backward marginals are summed up by document, and a
 small logistic regression over those sums, weighted back to the true class shares, gives the score.
 
 The model is fitted on a bounded sample: at most TRAIN_DOCS documents of each class, of at most TRAIN_BYTES
@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
@@ -38,8 +39,7 @@ MEMO = 1 << 17
 PREFIXES = (3, 4, 5, 6)
 #: Code points of texts that are scored together.
 CHUNK = 2 << 20
-#: Features of smaller weight are dropped from the model.
-LEAST_WEIGHT = 0.02
+SIDES = "lr"
 _EDGE = ".,;:!?\"'()[]{}|*%$&#-_/<>=+~`^@"
 
 
@@ -54,28 +54,53 @@ def own_features(word: str) -> list[tuple[str | int, str]]:
 
 
 def shape(word: str) -> str:
-    return ("X" if word[:1].isupper() else "x") + ("U" if len(word) > 2 and word.isupper() else "")
+    return ("X" if word[:1].isupper() else "x") + ("U" if len(word) > 2 and word.isupper() else "") + ("9" if any(map(str.isdigit, word)) else "")
+
+
+def side_features(word: str, side: str) -> list[tuple[str | int, str]]:
+    """What a token lends the next one (side l: it is the left neighbour) or the one before it (side r)."""
+    w = normal(word)
+    return [(side + "w", w), (side + "p", w[:4])]
 
 
 class Emissions(dict):
-    """Word -> score of the toxic state over the other; emptied before it grows large."""
+    """Word -> its number in the lists of scores (own, as left and as right neighbour) of the toxic state over the other."""
 
     def __init__(self, gaps: dict[str | int, dict[str, float]]):
         self.gaps = gaps
         self.prefixes = [(k, gaps.get(k, {})) for k in PREFIXES]
+        self.sides = [(gaps.get(side + "w", {}), gaps.get(side + "p", {})) for side in SIDES]
         self.bias = gaps.get("b", {}).get("", 0.0)
+        self.own, self.beside = array("d"), [array("d") for _ in SIDES]
 
-    def __missing__(self, word: str) -> float:
-        if len(self) >= MEMO:
-            self.clear()
+    def __missing__(self, word: str) -> int:
         w, gaps = normal(word), self.gaps
         score = self.bias + gaps["w"].get(w, 0.0) + gaps["s"].get(w[-3:], 0.0) + gaps["h"].get(shape(word), 0.0)
         size = len(w)
         for k, of in self.prefixes:
             if size > k:
                 score += of.get(w[:k], 0.0)
-        self[word] = score
-        return score
+        self.own.append(score)
+        for (whole, start), scores in zip(self.sides, self.beside, strict=True):
+            scores.append(whole.get(w, 0.0) + start.get(w[:4], 0.0))
+        at = self[word] = len(self.own) - 1
+        return at
+
+    def clear(self) -> None:
+        super().clear()
+        for scores in (self.own, *self.beside):
+            del scores[:]
+
+    def scores(self, words: list[list[str]], first: np.ndarray) -> np.ndarray:
+        """The score of every token of all texts; numbers hold until the next call, which may empty the lists."""
+        if len(self) >= MEMO:
+            self.clear()
+        at = np.fromiter(map(self.__getitem__, chain.from_iterable(words)), np.int64, len(first))
+        out, (left, right) = np.array(self.own)[at], (np.array(scores) for scores in self.beside)
+        inside = ~first[1:]
+        out[1:] += np.where(inside, left[at[:-1]], 0.0)
+        out[:-1] += np.where(inside, right[at[1:]], 0.0)
+        return out
 
 
 def token_marginals(texts: list[str], emissions: Emissions, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -83,10 +108,10 @@ def token_marginals(texts: list[str], emissions: Emissions, trans: np.ndarray) -
     words = [text.split() for text in texts]
     counts = np.fromiter(map(len, words), np.int64, len(words))
     total = int(counts.sum())
-    toxic = np.fromiter(map(emissions.__getitem__, chain.from_iterable(words)), np.float64, total)
     first = np.zeros(total, bool)
     ends = np.cumsum(counts)
     first[(ends - counts)[counts > 0]] = True
+    toxic = emissions.scores(words, first)
     p, _ = crf.marginals(np.column_stack((np.zeros(total), toxic)), first, trans, moves=False)
     return p[:, 1], counts
 
@@ -152,24 +177,26 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> dict | No
     words = [r["text"].split() for r in rows]
     toxic = seeds(words, y)
     numbers: dict[tuple[str | int, str], int] = {}
-    memo: dict[str, tuple[list[int], bool]] = {}
-    feats, tags, first = [], [], []
+    memo: dict[str, tuple[list[int], list[int], list[int], bool]] = {}
     width = len(PREFIXES) + 4
+    for w in chain.from_iterable(words):
+        if w not in memo:
+            n = normal(w)
+            own, left, right = ([numbers.setdefault(f, len(numbers) + 1) for f in of] for of in (own_features(w), *(side_features(w, side) for side in SIDES)))
+            memo[w] = own + [0] * (width - len(own)), left, right, (0, n) in toxic or any((k, n[:k]) in toxic for k in PREFIXES if len(n) > k)
+    feats, tags, first = [], [], []
     for of, label_of in zip(words, y, strict=True):
         for i, w in enumerate(of):
-            if w not in memo:
-                n = normal(w)
-                own = [numbers.setdefault(f, len(numbers) + 1) for f in own_features(w)]
-                memo[w] = own + [0] * (width - len(own)), (0, n) in toxic or any((k, n[:k]) in toxic for k in PREFIXES if len(n) > k)
-            feats.append(memo[w][0])
-            tags.append(int(label_of and memo[w][1]))
+            left = memo[of[i - 1]][1] if i else [0, 0]
+            right = memo[of[i + 1]][2] if i + 1 < len(of) else [0, 0]
+            feats.append(memo[w][0] + left + right)
+            tags.append(int(label_of and memo[w][3]))
             first.append(i == 0)
-    weights, trans = crf.fit(np.array(feats, np.int32), np.array(tags), np.array(first), 2, len(numbers) + 1, rounds=30)
+    weights, trans = crf.fit(np.array(feats, np.int32), np.array(tags), np.array(first), 2, len(numbers) + 1)
     gap = weights[:, 1] - weights[:, 0]
-    gaps: dict[str | int, dict[str, float]] = {kind: {} for kind in ("w", "s", "h", "b", *PREFIXES)}
+    gaps: dict[str | int, dict[str, float]] = {kind: {} for kind in ("w", "s", "h", "b", *PREFIXES, *(side + of for side in SIDES for of in "wp"))}
     for (kind, value), at in numbers.items():
-        if abs(gap[at]) > LEAST_WEIGHT:
-            gaps[kind][value] = float(gap[at])
+        gaps[kind][value] = float(gap[at])
     emissions = Emissions(gaps)
     x = document_features(*token_marginals([r["text"] for r in rows], emissions, trans))
     y = np.array(y, float)
