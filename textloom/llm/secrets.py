@@ -1,8 +1,8 @@
 """Secret scans: base patterns, and a linear-chain conditional random field that adds what they miss.
 
 The field tags white-space tokens as secret begin, inside or outside from their shape, the neighbouring
-words and features of the whole file, decoded by Viterbi over each whole text. It learns from the base
-spans of a bounded sample (TRAIN_DOCS documents of at most TRAIN_BYTES bytes, in the order of a hash of
+words and features of the whole file, decoded by Viterbi over each whole text. It learns from the whole base
+matches, keyword to value, of a bounded sample (TRAIN_DOCS documents of at most TRAIN_BYTES bytes, in the order of a hash of
 the id), so it generalises their shapes and contexts; it never removes a base span.
 
 Defined cases: null or empty text has no spans; spans are in code points, end exclusive; base spans of
@@ -41,7 +41,11 @@ LEAST = 8
 MEMO = 1 << 17
 CHUNK = 2 << 20
 _CORE = re.compile(r"[A-Za-z0-9+/_.=-]+")
+#: What names the secret at the head of a tagged run; a secret must follow.
+_LEAD = re.compile(r"""["']?[A-Za-z_][\w-]*["']?\s*[:=]\s*(?=["']?[A-Za-z0-9+/_.=-]{8})""")
 _CONTEXT = frozenset("password passwd secret token api_key apikey key auth bearer credential credentials passphrase private access pwd login user".split())
+#: A named value that no base pattern may know: a text with one, and without base spans, is no example of plain text.
+_NAMED = re.compile(rf"""\b(?:{"|".join(sorted(_CONTEXT))})["']?\s*[:=]\s*["']?[A-Za-z0-9+/_.=-]{{8}}""", re.I)
 
 
 def base_spans(text: str) -> list[tuple[int, int, str, int]]:
@@ -99,7 +103,9 @@ class Signatures(dict):
 
 def bins(name: str) -> list[int]:
     """Feature bins of a signature: for the token itself, for the token after it, the one after that, and the one before."""
-    short = "k" if name[0] == "k" else name if name[0] == "p" else name[:6]  # words of credentials are one class to their neighbours
+    if name[0] == "k":
+        name = "k"  # words of credentials are one class, so that a name without base spans may head a secret
+    short = name if name[0] in "kp" else name[:6]
     return [_bin("o", name), _bin("c", name.split("e")[0]), _bin("1", short), _bin("2", short), _bin("r", short)]
 
 
@@ -149,7 +155,7 @@ def train(docs: DataFrame) -> dict | None:
     rows = found.select("order", "doc_id", "text").collect()
     texts = [r["text"] for r in sorted(rows, key=lambda r: (r["order"], r["doc_id"], r["text"]))[:TRAIN_DOCS]]
     spans = [base_spans(t) for t in texts]
-    plain = [i for i, s in enumerate(spans) if not s][:TRAIN_PLAIN]
+    plain = [i for i, s in enumerate(spans) if not s and not _NAMED.search(texts[i])][:TRAIN_PLAIN]
     chosen = sorted([i for i, s in enumerate(spans) if s] + plain)
     if len(chosen) == len(plain):
         return None
@@ -160,7 +166,7 @@ def train(docs: DataFrame) -> dict | None:
     for text, own in zip(texts, spans, strict=True):
         last = None
         for m in re.finditer(r"\S+", text):
-            hit = next((s for s in own if s[3] < m.end() and s[1] > m.start()), None)
+            hit = next((s for s in own if s[0] < m.end() and s[1] > m.start()), None)
             tags.append(OUT if hit is None else INSIDE if last is not None and last[0] <= hit[0] < last[1] else BEGIN)
             last = hit
     table = np.array([bins(n) for n in known.names], np.int64)
@@ -197,7 +203,7 @@ class Tagger:
 
 
 def added_spans(text: str, tags: np.ndarray, base: list[tuple[int, int, str, int]]) -> list[tuple[int, int, str, int]]:
-    """The cores of the tagged runs that overlap no base span."""
+    """Every core of the tagged runs that overlaps no base span; words that name a secret are none."""
     out: list[tuple[int, int, str, int]] = []
     if not tags.any():
         return out
@@ -208,9 +214,11 @@ def added_spans(text: str, tags: np.ndarray, base: list[tuple[int, int, str, int
         elif tag:
             runs.append([m.start(), m.end()])
     for start, end in runs:
-        core = max(_CORE.finditer(text, start, end), key=lambda m: m.end() - m.start(), default=None)
-        if core and core.end() - core.start() >= LEAST and not any(s[0] < core.end() and s[1] > core.start() for s in base):
-            out.append((core.start(), core.end(), "crf", core.start()))
+        lead = _LEAD.match(text, start, end)
+        for core in _CORE.finditer(text, lead.end() if lead else start, end):
+            named = core[0].strip("=").lower() in _CONTEXT
+            if core.end() - core.start() >= LEAST and not named and not any(s[0] < core.end() and s[1] > core.start() for s in base):
+                out.append((core.start(), core.end(), "crf", core.start()))
     return out
 
 
