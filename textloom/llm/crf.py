@@ -134,7 +134,7 @@ def fit(features: np.ndarray, labels: np.ndarray, first: np.ndarray, states: int
     weights, trans = np.zeros((bins, states)), np.zeros((states, states))
     seen_w, seen_t = np.full((bins, states), 1e-8), np.full((states, states), 1e-8)
     used = np.unique(features)
-    compact = np.searchsorted(used, features)
+    compact = [np.searchsorted(used, of).astype(np.int32) for of in features.T]  # a column at a time: memory follows the tokens
     truth = np.eye(states)[labels]
     inside = ~first[1:]
     moves = np.zeros((states, states))
@@ -144,12 +144,12 @@ def fit(features: np.ndarray, labels: np.ndarray, first: np.ndarray, states: int
     g2 = np.full_like(w, 1e-8)
     ban = np.zeros((states, states)) if forbidden is None else np.where(forbidden, -1e4, 0.0)
     for _ in range(rounds):
-        p, pairs = marginals(w[compact].sum(axis=1), first, trans + ban)
+        p, pairs = marginals(sum(w[at] for at in compact), first, trans + ban)
         wrong = truth - p
         for s in range(states):
             g = np.zeros(len(used))
-            for k in range(features.shape[1]):
-                g += np.bincount(compact[:, k], wrong[:, s], len(used))
+            for at in compact:
+                g += np.bincount(at, wrong[:, s], len(used))
             g = g - l2 * total * w[:, s] / len(used)
             g2[:, s] += g * g
             w[:, s] += rate * g / np.sqrt(g2[:, s])

@@ -177,22 +177,26 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> dict | No
     words = [r["text"].split() for r in rows]
     toxic = seeds(words, y)
     numbers: dict[tuple[str | int, str], int] = {}
-    memo: dict[str, tuple[list[int], list[int], list[int], bool]] = {}
+    known: dict[str, int] = {}
+    places = np.fromiter((known.setdefault(w, len(known)) for w in chain.from_iterable(words)), np.int32)
     width = len(PREFIXES) + 4
-    for w in chain.from_iterable(words):
-        if w not in memo:
-            n = normal(w)
-            own, left, right = ([numbers.setdefault(f, len(numbers) + 1) for f in of] for of in (own_features(w), *(side_features(w, side) for side in SIDES)))
-            memo[w] = own + [0] * (width - len(own)), left, right, (0, n) in toxic or any((k, n[:k]) in toxic for k in PREFIXES if len(n) > k)
-    feats, tags, first = [], [], []
-    for of, label_of in zip(words, y, strict=True):
-        for i, w in enumerate(of):
-            left = memo[of[i - 1]][1] if i else [0, 0]
-            right = memo[of[i + 1]][2] if i + 1 < len(of) else [0, 0]
-            feats.append(memo[w][0] + left + right)
-            tags.append(int(label_of and memo[w][3]))
-            first.append(i == 0)
-    weights, trans = crf.fit(np.array(feats, np.int32), np.array(tags), np.array(first), 2, len(numbers) + 1)
+    table, seeded = np.zeros((len(known), width + 4), np.int32), np.zeros(len(known), bool)
+    for w, at in known.items():
+        n = normal(w)
+        own, left, right = ([numbers.setdefault(f, len(numbers) + 1) for f in of] for of in (own_features(w), *(side_features(w, side) for side in SIDES)))
+        table[at, : len(own)], table[at, width:] = own, left + right
+        seeded[at] = (0, n) in toxic or any((k, n[:k]) in toxic for k in PREFIXES if len(n) > k)
+    counts = np.fromiter(map(len, words), np.int64, len(words))
+    first = np.zeros(len(places), bool)
+    first[(np.cumsum(counts) - counts)[counts > 0]] = True
+    tags = (seeded[places] & (np.repeat(y, counts) > 0)).astype(np.int8)
+    feats = table[places]
+    feats[:, width:] = 0
+    feats[1:, width : width + 2] = np.where(first[1:, None], 0, table[places[:-1], width : width + 2])
+    feats[:-1, width + 2 :] = np.where(first[1:, None], 0, table[places[1:], width + 2 :])
+    del words, known, table
+    weights, trans = crf.fit(feats, tags, first, 2, len(numbers) + 1)
+    del feats, tags, first
     gap = weights[:, 1] - weights[:, 0]
     gaps: dict[str | int, dict[str, float]] = {kind: {} for kind in ("w", "s", "h", "b", *PREFIXES, *(side + of for side in SIDES for of in "wp"))}
     for (kind, value), at in numbers.items():
