@@ -7,6 +7,8 @@ import gzip
 import hashlib
 import itertools
 import random
+import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -42,6 +44,16 @@ def _components(ids, sets, percent=80):
     return {i: root(i) for i in ids}
 
 
+def test_different_texts_of_one_id(spark):
+    text = lambda p, n=30: " ".join(f"{p}{i}" for i in range(n))
+    rows = [(5, text("a")), (5, text("b")), (3, text("b") + " x"), (7, ""), (7, " "), (7, ""), (None, "q"), (9, text("a")), (9, text("c", 9)), (9, text("c", 9)), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    linked = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"]), r["kept"]) for r in near_dup.link(docs).collect())
+    assert linked == [("3", 28, "3", True), *[("5", 27, "3", False), ("5", 27, "5", True)], *[("7", 0, "7", True)] * 3, ("9", 0, "9", True), ("9", 27, "5", False), *[("9", 6, "9", True)] * 2, ("None", 1, "None", False)]
+    kept = sorted((str(r["doc_id"]), str(r["text"])) for r in near_dup.keep_one(docs).collect())
+    assert kept == sorted([("3", text("b") + " x"), ("5", text("a")), ("7", ""), ("7", " "), ("9", text("c", 9)), ("9", "None"), ("None", "q")])
+
+
 def near_texts():
     rng = random.Random(5)
     texts = []
@@ -129,7 +141,23 @@ def test_fingerprints(spark):
     assert out[7]["near_next"] == 1.0
     assert out[6]["near_next"] == 0.0
     groups = {r["doc_id"]: r["group_id"] for r in fingerprint.exact_groups(docs).collect()}
-    assert groups == {1: 1, 2: 1, 5: 5, 6: 6, 7: 6}
+    assert groups == {1: 1, 2: 1, 5: 5, 6: 6, 7: 6} == {i: r["group_id"] for i, r in out.items()}
+
+
+def test_fingerprint_groups_against_plain_forms(spark, monkeypatch):
+    def form(text):
+        return " ".join(unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text or "").casefold()).split())
+
+    texts = ["A b", "a  B", "ＡＢ", "ab", "ß", "SS", "ﬁ", "FI", None, "", " \n", "x" * 5000, "X" * 5000, "É", "e\u0301", "ab"]
+    rows = [(i // 2 if i % 3 else i, t) for i, t in enumerate(texts)] + [(None, "ab"), (None, "only"), (None, "only"), (3, "ab")]
+    least = {}
+    for i, t in rows:
+        least[form(t)] = min([x for x in (i, least.get(form(t))) if x is not None], default=None)
+    expected = sorted((str(i), str(least[form(t)])) for i, t in rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for digest in (fingerprint.digest, lambda f: F.lit("one bucket for all")):  # the second: every form collides
+        monkeypatch.setattr(fingerprint, "digest", digest)
+        assert sorted((str(r["doc_id"]), str(r["group_id"])) for r in fingerprint.fingerprints(docs).collect()) == expected
 
 
 def test_fingerprints_over_many_blocks(spark, monkeypatch):
@@ -284,6 +312,71 @@ def test_salvage_of_gzip_members():
     assert _ids(whole[: starts[1]] + b"garbage" + whole[starts[1] :]) == ([0, 1, 2, 3, 4, 5], [(starts[1], starts[1] + 7)])
 
 
+def test_salvage_of_one_member_with_many_records():
+    assert _ids(gzip.compress(b"".join(_records(50)))) == (list(range(50)), [])
+    rng = random.Random(1)
+    noise = [rng.randbytes(300) for _ in range(50)]
+    records = []
+    for i, body in enumerate(noise):
+        digest = base64.b32encode(hashlib.sha1(body).digest()).decode()
+        records.append(f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:{i}>\r\nWARC-Payload-Digest: sha1:{digest}\r\nContent-Length: 300\r\n\r\n".encode() + body + b"\r\n\r\n")
+    data = bytearray(gzip.compress(b"".join(records)))
+    at = len(data) // 4
+    data[at : at + 40] = b"\0" * 40
+    ids, gaps = _ids(bytes(data))
+    assert ids[:10] == list(range(10))  # all before the damage
+    assert gaps == [(0, len(data))]
+
+
+def test_salvage_looks_at_each_position():
+    parts = _records()
+    packed = gzip.compress(b"x" * 50)
+    body = b"HTTP/1.1 200 OK\r\n\r\n" + packed
+    odd = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:77>\r\nContent-Type: application/http\r\nContent-Length: %d\r\n\r\n" % len(body) + body + b"\r\n\r\n"
+    plain = b"".join([*parts[:3], odd, *parts[3:]])
+    assert _ids(b"XX" + plain[2:]) == ([1, 2, 77, 3, 4, 5], [(0, len(parts[0]))])
+    mixed = parts[0] + gzip.compress(parts[1]) + b"junk" + gzip.compress(parts[2] + parts[3]) + parts[4]
+    assert _ids(mixed)[0] == [0, 1, 2, 3, 4]
+    assert [b - a for a, b in _ids(mixed)[1]] == [4]
+
+
+@pytest.mark.parametrize("piece", [1, 7, 100, 1 << 16])
+def test_pieces_of_plain_bytes_are_parsed_alike(monkeypatch, piece):
+    monkeypatch.setattr(warc, "PIECE", piece)
+    parts = _records(9)
+    damaged = b"".join([*parts[:3], b"??", parts[3][5:], *parts[4:6], parts[6].replace(b"page 6", b"page X"), *parts[7:]])
+    for data in (b"".join(parts), damaged, damaged[:-20], b"", b"WARC/1.1\r\nContent-Length: 99999\r\n\r\n" + b"".join(parts)):
+        key = lambda x: (x["kind"], x["start"], x["stop"], x.get("page_id"))
+        assert list(map(key, warc.parse_pieces(data[i : i + piece] for i in range(0, len(data), piece)))) == list(map(key, warc.parse_plain(data)))
+
+
+def test_damage_to_a_written_archive_costs_one_record(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"http://a/{i}", f"page {i} " * 50) for i in range(200)], "page_id long, url string, html string").coalesce(1)
+    warc.write(pages, f"file://{tmp_path}/w", block_bytes=3000)
+    files = sorted((tmp_path / "w").glob("part-*"))
+    assert len(files) > 1  # bounded files
+    assert all(f.stat().st_size <= warc.FILE_BLOCKS * 3000 for f in files)
+    data = bytearray(files[0].read_bytes())
+    heads = [m.start() for m in re.finditer(re.escape(b"\x1f\x8b\x08"), bytes(data))]
+    at = heads[len(heads) // 2]
+    data[at + 60 : at + 90] = b"\0" * 30
+    for crc in (tmp_path / "w").glob(".*.crc"):
+        crc.unlink()
+    files[0].write_bytes(bytes(data))
+    rows = warc.read(spark, f"file://{tmp_path}/w").collect()
+    assert sum(r["kind"] == "record" for r in rows) == 199
+    gaps = [r for r in rows if r["kind"] == "gap"]
+    assert [(g["start"], g["stop"]) for g in gaps] == [(at, heads[len(heads) // 2 + 1])]
+
+
+def test_long_and_clashing_pages(spark):
+    rng = random.Random(3)
+    long = "".join(rng.choice("abcdefgh \u00e9") for _ in range(1 << 20)) * 17  # beyond 16 MB: an empty member follows
+    pages = spark.createDataFrame([(1, "u", long, 5), (2, "u", "WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n", 6)], "page_id long, url string, html string, payload_bytes int")
+    out = {r["page_id"]: r for r in warc.round_trip(pages).collect()}
+    assert {i: r["payload_bytes"] for i, r in out.items()} == {1: len(long.encode()), 2: 38}
+
+
 def test_archives_of_pages(spark):
     pages = [(5, "http://a/", "same"), (2, "http://b/ x", "same"), (9, None, "same"), (3, "http://c/", ""), (4, "http://d/", None), (7, "u", "é WARC/1.1\r\n\r\n"), (None, "v", "same"), (2, "http://b/ x", "same")]
     out = warc.round_trip(spark.createDataFrame([(*p, "?") for p in pages], "page_id long, url string, html string, digest string")).collect()

@@ -22,12 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one set here if none is (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, on one machine only, one set here (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = current.get() if current.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir is not set: driver and executors need a folder that they share")
         import tempfile
 
         found = f"file://{tempfile.mkdtemp(prefix='textloom-checkpoint-')}"

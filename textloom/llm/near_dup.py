@@ -12,10 +12,13 @@ members only if an exact bound leaves room: each set has a bitmap of PARITY bits
 element, and two bitmaps differ in no more bits than the sets do in elements. So no link is lost beyond
 the misses of the bands, (1 - 0.8^6)^42 < 3e-6 at similarity 0.8.
 
+A graph node is a class of equal sets. Its number is its smallest id; where texts of different sets share an
+id, all but one of their classes have a hash of the set for a number, so that texts are linked and not ids.
+
 Defined cases: null or empty text, or text without words, has the empty set and is linked with nothing; a
 null id takes part in nothing and gets a null component, not kept; repeated rows are equal texts and share
-a component; equal similarity needs no tie-break, a component is named by its smallest id; other columns
-of the input are left out.
+a component; different texts of one id are linked only if they are alike; equal similarity needs no
+tie-break, a component is named by its smallest id; other columns of the input are left out.
 """
 
 from __future__ import annotations
@@ -105,20 +108,25 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
 
 
 def profile(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n, s1, s2, bands): set size, a 128-bit digest of the set (null if empty) and its band keys."""
+    """(doc_id, t, n, s1, s2, bands): hash of the text, set size, a 128-bit digest of the set (null if empty) and its band keys."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = shingle_sets(batch.column(1).to_pylist(), width)
+        sets = shingle_sets(batch.column(2).to_pylist(), width)
         keys = band_keys(registers(sets))
         digests = [xxhash.xxh3_128_intdigest(s.tobytes()) if len(s) else None for s in sets]
         low = [None if d is None else (d & (1 << 64) - 1) - (1 << 63) for d in digests]
         high = [None if d is None else (d >> 64) - (1 << 63) for d in digests]
         bands = pa.array([k if len(s) else None for k, s in zip(keys, sets, strict=True)], pa.list_(pa.int64()))
-        columns = [batch.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), bands]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "s1", "s2", "bands"])
+        columns = [batch.column(0), batch.column(1), pa.array(list(map(len, sets)), pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), bands]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "t", "n", "s1", "s2", "bands"])
+
+    rows = docs.select("doc_id", text_hash().alias("t"), "text")
+    return map_arrow(rows, run, f"doc_id {rows.dtypes[0][1]}, t long, n long, s1 long, s2 long, bands array<long>", memo)
+
 
-    rows = docs.select("doc_id", "text")
-    return map_arrow(rows, run, f"doc_id {rows.dtypes[0][1]}, n long, s1 long, s2 long, bands array<long>", memo)
+def text_hash() -> Column:
+    """What tells rows of one id apart."""
+    return F.xxhash64("text")
 
 
 def parity(elements: np.ndarray) -> np.ndarray:
@@ -128,7 +136,7 @@ def parity(elements: np.ndarray) -> np.ndarray:
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """(node, n, bits, registers, hashes) of the documents that nodes names."""
+    """(node, n, bits, registers, hashes) of the documents that nodes (node, doc_id, t) names."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets(batch.column(1).to_pylist(), width)
@@ -137,7 +145,7 @@ def full_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
         columns += [pa.array([r.tobytes() for r in kept], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))]
         return pa.RecordBatch.from_arrays(columns, ["node", "n", "bits", "registers", "hashes"])
 
-    rows = docs.select(F.col("doc_id").alias("node"), "text").join(nodes, "node", "left_semi").dropDuplicates(["node", "text"])
+    rows = docs.select("doc_id", text_hash().alias("t"), "text").join(nodes, ["doc_id", "t"]).dropDuplicates(["doc_id", "t", "node"]).select("node", "text")
     return map_arrow(rows, run, f"node {rows.dtypes[0][1]}, n long, bits array<long>, registers binary, hashes array<long>", memo)
 
 
@@ -204,25 +212,41 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(roots.distinct())
 
 
-def link(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), one row for each row of docs (doc_id, text)."""
+def numbered(usable: DataFrame) -> DataFrame:
+    """(s1, s2, doc_id, t, node): the document that stands for each class of equal sets, and the class' number."""
+    classes = usable.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "t")).alias("first")).select("s1", "s2", "first.doc_id", "first.t")
+    own = classes.groupBy("doc_id").agg(F.min(F.struct("s1", "s2")).alias("own"), F.count("*").alias("sets")).where("sets > 1").select("doc_id", "own")
+    node = F.when(F.coalesce(F.col("own") == F.struct("s1", "s2"), F.lit(True)), F.col("doc_id")).otherwise(F.xxhash64("s1", "s2").cast(dict(usable.dtypes)["doc_id"]))
+    return classes.join(own, "doc_id", "left").select("s1", "s2", "doc_id", "t", node.alias("node"))
+
+
+def placed(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(doc_id, t, n, component): one row for each row of docs; t is text_hash()."""
     seen = checkpointed(profile(docs, width))
     usable = seen.where("doc_id IS NOT NULL AND n > 0")
-    classes = checkpointed(usable.groupBy("s1", "s2").agg(F.min("doc_id").alias("node")))
-    chosen = usable.join(classes.withColumnRenamed("node", "doc_id"), ["s1", "s2", "doc_id"]).dropDuplicates(["s1", "s2", "doc_id"])
-    buckets = chosen.select(F.col("doc_id").alias("node"), F.explode("bands").alias("key"))
+    classes = checkpointed(numbered(usable))
+    chosen = usable.join(classes, ["s1", "s2", "doc_id", "t"]).dropDuplicates(["s1", "s2", "doc_id", "t"])
+    buckets = chosen.select("node", F.explode("bands").alias("key"))
     shared = buckets.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("members")).where("members > 1")
     members = checkpointed(buckets.join(shared, "key"))
-    sets = checkpointed(full_sets(docs, members.select("node").distinct(), width))
+    wanted = classes.select("node", "doc_id", "t").join(members.select("node").distinct(), "node", "left_semi")
+    sets = checkpointed(full_sets(docs, wanted, width))
     stars = members.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     links = checkpointed(verify(stars, sets, percent))
     found = checkpointed(components(links))
     more = checkpointed(verify(apart(members, found, sets, percent), sets, percent))
     found = checkpointed(components(found.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more)))
-    named = classes.join(found, "node", "left").select("s1", "s2", F.coalesce("component", "node").alias("component"))
+    named = classes.join(found, "node", "left").select("s1", "s2", "doc_id", F.coalesce("component", "node").alias("component"))
+    least = named.groupBy("component").agg(F.min("doc_id").alias("name"))
+    named = named.join(least, "component").select("s1", "s2", F.col("name").alias("component"))
     out = seen.join(named, ["s1", "s2"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))
+    return out.select("doc_id", "t", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component"))
+
+
+def link(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept), one row for each row of docs (doc_id, text)."""
+    kept = F.coalesce(F.col("component") == F.col("doc_id"), F.lit(False))
+    return placed(docs, width, percent).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), kept.alias("kept"))
 
 
 def apart(members: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -266,7 +290,18 @@ def _unpacked(rows: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray,
 
 
 def keep_one(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
-    """docs with one document of each component; rows without an id stay."""
-    kept = link(docs, width, percent).where("kept").select("doc_id").distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """docs with one document of each component, of its texts under the smallest id the one of the smallest hash.
+
+    Texts without words are linked with nothing and stay, as do rows without an id; a row that is repeated stays once.
+    """
+    found = placed(docs, width, percent).where("component = doc_id")
+    group = F.when(F.col("n") == 0, F.col("t"))
+    kept = checkpointed(found.groupBy("doc_id", group.alias("wordless")).agg(F.min("t").alias("t")).select("doc_id", "t"))
+    named = docs.withColumn(_KEY, text_hash()).join(kept.withColumnRenamed("t", _KEY), ["doc_id", _KEY], "left_semi")
+    # partitioned by the same columns already: no second shuffle
+    named = named.dropDuplicates(["doc_id", _KEY])
     return named.select(*docs.columns).unionAll(docs.where(F.col("doc_id").isNull()))
+
+
+#: A column name that no table has.
+_KEY = "__text_hash"

@@ -34,10 +34,10 @@ def block_columns(df: DataFrame, id_col: str, spread: Column, rows: int = ROWS)
     first, last, at = int(found["low"]), int(found["high"]), list(map(int, found["at"]))
     frequent = sorted({x for x, y in zip(at, at[1:]) if x == y})  # noqa: B905
     bounds = [x for x in sorted({*at, *(x + 1 for x in frequent)}) if first < x <= last]
-    edges = F.array(*(F.lit(x).cast("long") for x in (first, *bounds, last + 1)))
+    edges = F.array(*(F.lit(float(x)) for x in (first, *bounds, last + 1)))  # doubles, as differences of longs may not fit a long
     place = F.size(F.filter(F.array(*(F.lit(x).cast("long") for x in bounds)), lambda x: x <= key)) if bounds else F.lit(0)
     low, high = F.get(edges, place), F.get(edges, place + 1)
-    inside = F.floor((key - low).cast("double") / (high - low).cast("double") * parts).cast("long")
+    inside = F.floor((key.cast("double") - low) / F.greatest(high - low, F.lit(1.0)) * parts).cast("long")
     by_hash = key.isNull() | key.isin(frequent) if frequent else key.isNull()
-    block = F.when(by_hash, dealt).otherwise(F.least(inside, F.lit(parts - 1).cast("long")))
+    block = F.when(by_hash, dealt).otherwise(F.greatest(F.lit(0).cast("long"), F.least(inside, F.lit(parts - 1).cast("long"))))
     return F.when(key.isNull(), null_range).otherwise(place.cast("long")), block

@@ -1,23 +1,30 @@
 """WARC archives: a writer with revisit records, and a salvage reader.
 
 Writing is one Spark job: one record for each page, the payload inside an HTTP response; of pages with equal
-payloads the smallest id is the response and the others are revisit records that name it. Spark's text
-sink writes the records, its line separator being WARC's record end, so archives can lie in any store.
+payloads the smallest id is the response and the others are revisit records that name it. Every record is a
+gzip member of its own, so damage costs the records that it touches. Spark's text sink writes the members,
+so archives can lie in any store and a lost task leaves nothing behind: a row is a block of members without
+its last byte, and that byte, always zero, is the sink's line separator (a member's last byte is the highest
+of its length, zero below 16 MB; after a longer record an empty member follows, which ends in zeros). A file
+holds at most FILE_BLOCKS blocks of BLOCK_BYTES or of one larger record.
 
-Reading takes whole archives as bytes, gzip members or plain. After a failed check (a broken member, a
-record whose head, length, end or digest is wrong) it searches for the next valid member or version line,
-recovers the records after it, and logs the bytes between as a quarantined gap. Gaps of a gzip file are in
-compressed bytes; a record found only in part of a broken member is read as far as it is whole.
+Reading looks at each position for a gzip member or a version line, so plain and packed parts may follow each
+other. Members are unpacked and parsed piece by piece: besides the file's own bytes, memory holds the
+record at hand. After a failed check (a broken member, a record whose head, length, end or digest is wrong)
+it searches for the next valid member or version line, recovers the records after it, and logs the bytes
+between as a quarantined gap. Gaps of a packed part are in packed bytes; of a broken member, whatever comes
+out before the damage is read, record by record.
 
 Defined cases: null html is the empty payload; a null url leaves out the target; a null page id is a response
 of its own that nothing revisits; rows that repeat a page id and its payload are written each time, all
 responses if their id is the smallest; payloads under `least` bytes are never revisited; other columns of
-the input stay out.
+the input stay out; round_trip() raises if its own archives come back with a gap.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import uuid
@@ -35,8 +42,14 @@ END = "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ID = "urn:page:"
-#: Rows of one archive file at most.
-FILE_RECORDS = 20000
+#: Packed bytes of a block of members, and blocks of a file; one long record may be larger.
+BLOCK_BYTES = 4 << 20
+FILE_BLOCKS = 16
+#: Plain bytes that are unpacked at a time, and of a piece when the place of damage is looked for.
+PIECE, FINE = 1 << 16, 1 << 6
+#: A head that has not ended after so many bytes is damaged.
+HEAD_BYTES = 1 << 20
+_LENGTH = re.compile(rb"(?i)\r\ncontent-length:[ \t]*(\d+)[ \t]*\r\n")
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _MEMBER = b"\x1f\x8b\x08"
 RECORD_FIELDS = ["kind", "archive", "start", "stop", "page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload", "reason"]
@@ -50,8 +63,32 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.concat(*parts), "0123456789abcdefghijklmnopqrstuv", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def write(pages: DataFrame, path: str, least: int = 0, compression: str = "gzip") -> None:
+def packed(record: bytes) -> bytes:
+    """A gzip member of a record that ends in a zero byte; a longer record has an empty member after it."""
+    member = gzip.compress(record, 6, mtime=0)
+    return member if member.endswith(b"\0") else member + gzip.compress(b"", 6, mtime=0)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of packed records, of a size or of one larger record each, without their last byte."""
+    kind = pa.schema([("value", pa.binary())])
+    out: list[bytes] = []
+    held = 0
+    for batch in batches:
+        for head, body in zip(batch.column(0), batch.column(1), strict=True):
+            member = packed(head.as_py() + body.as_py() + b"\r\n\r\n")
+            if out and held + len(member) > size:
+                yield pa.RecordBatch.from_arrays([pa.array([b"".join(out)[:-1]], pa.binary())], schema=kind)
+                out, held = [], 0
+            out.append(member)
+            held += len(member)
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array([b"".join(out)[:-1]], pa.binary())], schema=kind)
+
+
+def write(pages: DataFrame, path: str, least: int = 0, block_bytes: int = BLOCK_BYTES) -> None:
     """WARC archives of pages (page_id, url, html) under path."""
+    ship_package(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long"), F.regexp_replace(F.col("url"), r"[\s\p{Cntrl}]", "").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumns({"digest": base32_sha1(F.encode("html", "UTF-8")), "size": F.octet_length("html").cast("long")})
     slim = rows.where(F.col("page_id").isNotNull() & (F.col("size") >= least)).select("page_id", "digest")
@@ -75,7 +112,10 @@ def write(pages: DataFrame, path: str, least: int = 0, compression: str = "gzip"
         F.octet_length(body).cast("string"),
         F.lit(END),
     )
-    rows.select(F.concat(head, body).alias("value")).write.option("lineSep", END).option("compression", compression).option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    parts = rows.select(F.encode(head, "UTF-8").alias("head"), F.encode(body, "UTF-8").alias("body"))
+    blocks = parts.mapInArrow(lambda batches: _blocks(batches, block_bytes), "value binary")
+    # the sink writes a string's bytes as they are
+    blocks.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\0").option("maxRecordsPerFile", FILE_BLOCKS).text(path)
 
 
 def _gap(start: int, stop: int, reason: str) -> dict:
@@ -124,8 +164,94 @@ def _heads(data: bytes, at: int) -> bool:
     return record is not None or (end > at and data[at - 1 : at] == b"\n")
 
 
+def _wanted(data: bytes, at: int) -> int:
+    """How long data must be for the record at a position to be judged."""
+    if not _VERSION.match(data, at):
+        return at + len(b"WARC/1.1\r\n")
+    head_end = data.find(b"\r\n\r\n", at, at + HEAD_BYTES)
+    if head_end < 0:
+        return at + HEAD_BYTES
+    length = _LENGTH.search(data, at, head_end + 2)
+    return head_end + 8 + int(length[1]) if length else head_end
+
+
+def _next_head(data: bytes, at: int, stop: int | None = None, whole: bool = True) -> int:
+    """The next place from at to stop whose version line heads a record, or -1; unless data is whole, a record that goes on after it ends the search."""
+    stop = len(data) if stop is None else stop
+    follow = _VERSION.search(data, at, stop)
+    while follow and not _heads(data, follow.start()):
+        if not whole and _wanted(data, follow.start()) > len(data):
+            return -1
+        follow = _VERSION.search(data, follow.start() + 1, stop)
+    return follow.start() if follow else -1
+
+
+class Member:
+    """A gzip member of data, unpacked in pieces; after the last piece, stop is where it ends, or reason says what is wrong."""
+
+    def __init__(self, data: bytes, at: int):
+        self.data, self.at, self.stop, self.reason = data, at, at, ""
+
+    def pieces(self) -> Iterator[bytes]:
+        """All plain bytes that can be had; the piece with the damage is taken again in finer steps."""
+        view, unzip, pos, size = memoryview(self.data), zlib.decompressobj(31), self.at, PIECE
+        while pos < len(view) and not unzip.eof:
+            try:
+                piece = unzip.decompress(view[pos : pos + size])
+            except zlib.error as error:
+                if size == 1:
+                    self.reason = f"broken member: {error}"
+                    return
+                size = FINE if size == PIECE else 1
+                unzip = zlib.decompressobj(31)  # a failed one is spent: unpack again up to here
+                for back in range(self.at, pos, PIECE):
+                    unzip.decompress(view[back : min(pos, back + PIECE)])
+                continue
+            pos += size
+            if piece:
+                yield piece
+        if unzip.eof:
+            self.stop = min(pos, len(view)) - len(unzip.unused_data)
+        else:
+            self.reason = "member cut short"
+
+    def heads(self) -> bool:
+        """Whether the member begins with a version line."""
+        try:
+            return _VERSION.match(zlib.decompressobj(31).decompress(memoryview(self.data)[self.at : self.at + PIECE], 64)) is not None
+        except zlib.error:
+            return False
+
+
+def parse_pieces(pieces: Iterator[bytes]) -> Iterator[dict]:
+    """Records and gaps of plain bytes that come in pieces; holds the record at hand, or a damaged stretch until the next record."""
+    parts, size, base, need = [], 0, 0, 0
+    for piece in pieces:
+        parts.append(piece)
+        size += len(piece)
+        if size < need:
+            continue
+        data, at, need = b"".join(parts), 0, 0
+        while at < size and not need:
+            wanted = _wanted(data, at)
+            if wanted > size:
+                need = wanted
+                break
+            record, end, reason = parse_record(data, at)
+            if end == at:
+                end = _next_head(data, at + 1, whole=False)
+                if end < 0:
+                    need = size + max(PIECE, size - at)
+                    break
+            yield (record or _gap(at, end, reason)) | {"start": base + at, "stop": base + end}
+            at = end
+        parts, size, base, need = [data[at:]], size - at, base + at, need - at
+    for x in parse_plain(b"".join(parts)):
+        yield x | {"start": base + x["start"], "stop": base + x["stop"]}
+
+
 def parse_plain(data: bytes) -> Iterator[dict]:
-    """Records and gaps of an uncompressed archive."""
+    """Records and gaps of plain bytes."""
     at = 0
     while at < len(data):
         record, end, reason = parse_record(data, at)
@@ -133,57 +259,56 @@ def parse_plain(data: bytes) -> Iterator[dict]:
             yield record
         else:
             if end == at:  # the length can't be trusted: the next version line that heads a record
-                follow = _VERSION.search(data, at + 1)
-                while follow and not _heads(data, follow.start()):
-                    follow = _VERSION.search(data, follow.start() + 1)
-                end = follow.start() if follow else len(data)
+                follow = _next_head(data, at + 1)
+                end = follow if follow >= 0 else len(data)
             yield _gap(at, end, reason)
         at = end
 
 
-def _member(data: bytes, at: int) -> tuple[bytes, int, str]:
-    """(plain bytes, end, "") of a gzip member; what came out before the failure, at, and a reason."""
-    unzip = zlib.decompressobj(31)
-    out = []
-    view = memoryview(data)
-    try:
-        pos = at
-        while pos < len(data) and not unzip.eof:
-            out.append(unzip.decompress(view[pos : pos + (1 << 20)]))
-            pos += 1 << 20
-    except zlib.error as error:
-        return b"".join(out), at, f"broken member: {error}"
-    if not unzip.eof:
-        return b"".join(out), at, "member cut short"
-    return b"".join(out), min(pos, len(data)) - len(unzip.unused_data), ""
-
-
 def parse_archive(data: bytes) -> Iterator[dict]:
-    """Records and gaps of an archive, whichever way it is packed."""
-    if not data.startswith(_MEMBER):
-        if _VERSION.match(data) or _MEMBER not in data:
-            yield from parse_plain(data)
-            return
+    """Records and gaps of an archive; whether a part is packed is seen at each position.
+
+    Records and gaps inside a member start where it starts; the last of a sound member ends where it ends.
+    """
     at = 0
     while at < len(data):
-        plain, end, reason = _member(data, at) if data.startswith(_MEMBER, at) else (b"", at, "no member")
-        found = list(parse_plain(plain))
-        if not reason:
-            for x in found:  # places inside a member are those of the member
-                yield x | {"start": at, "stop": end}
-            at = end
-            continue
-        for x in found:
-            if x["kind"] == "record":
-                yield x | {"start": at, "stop": at}
-        follow = data.find(_MEMBER, at + 1)
-        while follow >= 0 and not _VERSION.match(_member(data, follow)[0]):
-            follow = data.find(_MEMBER, follow + 1)
-        stop = follow if follow >= 0 else len(data)
+        if data.startswith(_MEMBER, at):
+            member, last, gaps = Member(data, at), None, []
+            for x in parse_pieces(member.pieces()):
+                if x["kind"] == "gap":
+                    gaps.append(x["reason"])
+                    continue
+                if last:
+                    yield last
+                last = x | {"start": at, "stop": at}
+            if last:
+                yield last | {"stop": member.stop}
+            if not member.reason:
+                yield from (_gap(at, member.stop, reason) for reason in gaps)
+                at = member.stop
+                continue
+            reason = member.reason
+        else:
+            record, end, reason = parse_record(data, at)
+            if end > at:
+                yield record or _gap(at, end, reason)
+                at = end
+                continue
+        stop = _next_part(data, at + 1)
         yield _gap(at, stop, reason)
         at = stop
 
 
+def _next_part(data: bytes, at: int) -> int:
+    """The next place from at on where a member with a record or a record itself begins, or the end."""
+    packed_at = data.find(_MEMBER, at)
+    while packed_at >= 0 and not Member(data, packed_at).heads():
+        packed_at = data.find(_MEMBER, packed_at + 1)
+    stop = packed_at if packed_at >= 0 else len(data)
+    plain_at = _next_head(data, at, stop)
+    return plain_at if plain_at >= 0 else stop
+
+
 def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """Records and gaps (kind) of all archives under path; payloads false leaves the payload column null."""
     ship_package(spark)
@@ -212,5 +337,6 @@ def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
     spark = pages.sparkSession
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write(pages, path, least)
-    records = read(spark, path, payloads=False).where("kind = 'record'")
+    lost = F.concat_ws(" ", F.lit("quarantined:"), "archive", F.col("start").cast("string"), F.col("stop").cast("string"), "reason")
+    records = read(spark, path, payloads=False).where(F.when(F.col("kind") == "gap", F.raise_error(lost).cast("boolean")).otherwise(F.lit(True)))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
