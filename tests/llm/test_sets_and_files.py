@@ -49,7 +49,7 @@ def test_different_texts_of_one_id(spark):
     rows = [(5, text("a")), (5, text("b")), (3, text("b") + " x"), (7, ""), (7, " "), (7, ""), (None, "q"), (9, text("a")), (9, text("c", 9)), (9, text("c", 9)), (9, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     linked = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"]), r["kept"]) for r in near_dup.link(docs).collect())
-    assert linked == [("3", 28, "3", True), *[("5", 27, "3", False), ("5", 27, "5", True)], *[("7", 0, "7", True)] * 3, ("9", 0, "9", True), ("9", 27, "5", False), *[("9", 6, "9", True)] * 2, ("None", 1, "None", False)]
+    assert linked == [("3", 28, "3", True), *[("5", 27, "3", False), ("5", 27, "5", True)], *[("7", 0, "7", True)] * 3, ("9", 0, "9", True), *[("9", 6, "9", True)] * 2, ("9", 27, "5", False), ("None", 1, "None", False)]
     kept = sorted((str(r["doc_id"]), str(r["text"])) for r in near_dup.keep_one(docs).collect())
     assert kept == sorted([("3", text("b") + " x"), ("5", text("a")), ("7", ""), ("7", " "), ("9", text("c", 9)), ("9", "None"), ("None", "q")])
 
@@ -237,6 +237,21 @@ def test_leaks_with_other_names_and_numbers(spark):
     assert {r["doc_id"] for r in decontaminate.clean(docs, items).collect()} >= {3, 5}
 
 
+def test_leaks_beside_a_look_alike_and_under_one_id(spark, monkeypatch):
+    item = "when Alice Baker walks to town she buys 12 apples for 5 dollars and gives 12 to Alice Baker again today"
+    other = item.replace("gives 12", "gives 13")  # its slots disagree
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    half = len(item.split()) // 2
+    first, second = " ".join(item.split()[:half]), " ".join(item.split()[half:])
+    rows = [(1, f"x {other} . then {item} ."), (2, f"x {other} . then {other} ."), (3, first), (3, second), (4, "x y z v w"), (4, f"so {item}"), (None, item), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for most in (decontaminate.MAX_BROADCAST, 0):  # 0: every join is shuffled
+        monkeypatch.setattr(decontaminate, "MAX_BROADCAST", most)
+        assert sorted(r["doc_id"] for r in decontaminate.leaks(docs, items).collect()) == [1, 4]
+        kept = sorted((str(r["doc_id"]), str(r["text"])) for r in decontaminate.clean(docs, items).collect())
+        assert kept == sorted((str(i), str(t)) for i, t in rows if (i, t) not in [rows[0], rows[5]])
+
+
 def test_licenses_and_inheritance(spark):
     mit = "Released under the MIT License."
     files = [("a/LICENSE", mit), ("a/b/c/x.py", "code only"), ("a/b/y.py", "Licensed under the Apache License, Version 2.0.\n" + "code " * 50), ("a/b/z.py", None), ("q/w.py", "we license nothing here to anyone at all"), ("top.py", "x" * 50)]

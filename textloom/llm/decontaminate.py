@@ -3,18 +3,23 @@
 Canonicalisation replaces numbers, names (capitalised words inside a sentence) and units after a number by
 typed placeholders; the rest is lower-cased words. Windows of five template tokens of documents and items
 are joined by hash; an item leaks into a document if at least 80 % of its windows occur there. If the
-item has slots, the values on the best alignment must be consistent: equal item values have equal document
+item has slots, the values on one alignment must be consistent: equal item values have equal document
 values. So a question with other names and numbers is caught, and text of the same pattern that fills the
-slots at random is not.
+slots at random is not. All alignments with at least 80 % of the best one's windows are looked at, so a
+look-alike elsewhere in the document hides nothing.
 
 Windows with fewer than three literal tokens are no evidence and count on neither side. The first word of
 an item may be a name or not, as it depends on what precedes it; both forms are looked up.
 
-The items' windows are broadcast only if they number at most MAX_BROADCAST; else the join shuffles.
+The items' windows are broadcast only if they number at most MAX_BROADCAST, and so are the documents found;
+else the joins shuffle, that of the windows in SALTS parts, as one window may be in very many documents.
+Texts move only if more documents than that are found.
 
 Defined cases: null or empty texts have no windows; an item without a usable window (under five tokens)
-never leaks; a null id of a document or an item is left out; repeated rows are one; ties between
-alignments go to the earliest; other columns of the input stay out; only native functions are used.
+never leaks; a null id of a document or an item is left out (clean() keeps such documents); different texts
+of one id are documents of their own, of which clean() drops only those with a leak; repeated rows are one
+here and all kept or dropped by clean(); of consistent alignments the one with the fewest changed slots is
+reported; other columns of the input stay out; only native functions are used.
 """
 
 from __future__ import annotations
@@ -22,10 +27,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm.common import checkpointed
+
 WINDOW = 5
 LITERALS = 3
 PERCENT = 80
 MAX_BROADCAST = 200_000
+SALTS = 32
+#: What tells texts of one id apart; a column name that no table has.
+KEY = "__text_hash"
 NAME, UNIT, NUMBER = "\x01", "\x02", "\x03"
 UNITS = "km|cm|mm|m|kg|mg|g|lb|oz|ml|l|mph|kmh|hours|hour|minutes|minute|seconds|second|days|day|weeks|week|years|year|dollars|euros|cents|percent|meters|miles|feet|inches"
 
@@ -71,34 +81,65 @@ def item_windows(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.select("item_id", "at", "hash").distinct(), parsed.join(counts, "item_id")
 
 
-def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, item_id, n_windows, matched, n_slots, changed_slots) for every item that leaks into a document."""
+def is_few(df: DataFrame) -> bool:
+    return df.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
+
+
+def few(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it has at most MAX_BROADCAST rows."""
+    return F.broadcast(df) if is_few(df) else df
+
+
+def occurrences(tokens: DataFrame, keys: DataFrame) -> DataFrame:
+    """(doc_id, KEY, item_id, at, shift) of every item window in a document."""
+    places = tokens.select("doc_id", KEY, F.posexplode(windows("tokens")).alias("place", "hash"))
+    if is_few(keys):
+        hits = places.join(F.broadcast(keys), "hash")
+    else:
+        salted = keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        hits = places.withColumn("salt", F.pmod(F.xxhash64("doc_id", "place"), F.lit(SALTS)).cast("int")).join(salted, ["hash", "salt"])
+    return hits.select("doc_id", KEY, "item_id", "at", (F.col("place") - F.col("at")).alias("shift"))
+
+
+def found_items(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, KEY, item_id, n_windows, matched, n_slots, changed_slots) of every leak; KEY is the hash of the text."""
     keys, parsed = item_windows(items)
-    if keys.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
-        keys = F.broadcast(keys)
-    docs = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
-    tokens = docs.select("doc_id", template_tokens(marked(F.col("text"))).alias("tokens"))
-    places = tokens.select("doc_id", F.posexplode(windows("tokens")).alias("place", "hash"))
-    hits = places.join(keys, "hash").select("doc_id", "item_id", "at", (F.col("place") - F.col("at")).alias("shift"))
-    lines = hits.groupBy("doc_id", "item_id", "shift").agg(F.collect_set("at").alias("ats"))  # at most an item's own windows
-    pairs = lines.groupBy("doc_id", "item_id").agg(F.collect_set("ats").alias("all"), F.max_by("shift", F.struct(F.size("ats"), -F.col("shift"))).alias("shift"))
-    pairs = pairs.select("doc_id", "item_id", "shift", F.size(F.array_distinct(F.flatten("all"))).cast("long").alias("matched"))
-    found = pairs.join(parsed, "item_id").where(100 * F.col("matched") >= PERCENT * F.col("n_windows"))
+    docs = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias(KEY), "text")
+    tokens = docs.select("doc_id", KEY, template_tokens(marked(F.col("text"))).alias("tokens"))
+    one = ["doc_id", KEY, "item_id"]
+    lines = occurrences(tokens, keys).groupBy(*one, "shift").agg(F.collect_set("at").alias("ats"))  # at most an item's own windows
+    pairs = lines.groupBy(*one).agg(F.collect_set("ats").alias("all"), F.collect_list(F.struct(F.size("ats").alias("n"), "shift")).alias("shifts"), F.max(F.size("ats")).alias("most"))
+    pairs = pairs.select(*one, F.expr(f"transform(filter(shifts, s -> 100 * s.n >= {PERCENT} * most), s -> s.shift)").alias("shifts"), F.size(F.array_distinct(F.flatten("all"))).cast("long").alias("matched"))
+    found = pairs.join(few(parsed.select("item_id", "n_windows")), "item_id")
+    found = checkpointed(found.where(100 * F.col("matched") >= PERCENT * F.col("n_windows")))
     slots = F.filter(F.sequence(F.lit(0), F.size("tokens") - 1), lambda i: F.get(F.col("tokens"), i) <= NUMBER)
-    found = found.select("doc_id", "item_id", "shift", "n_windows", "matched", "raw", F.col("tokens").alias("pattern"), slots.alias("slots"))
-    plain = found.where(F.size("slots") == 0).select("doc_id", "item_id", "n_windows", "matched", F.lit(0).cast("long").alias("n_slots"), F.lit(0).cast("long").alias("changed_slots"))
-    filled = found.where(F.size("slots") > 0).join(docs, "doc_id")
-    filled = filled.select("doc_id", "item_id", "shift", "n_windows", "matched", "raw", "pattern", "slots", marked(F.col("text")).alias("mark"))
+    found = found.join(parsed.select("item_id", "raw", F.col("tokens").alias("pattern"), slots.alias("slots")), "item_id")
+    zero = F.lit(0).cast("long")
+    plain = found.where(F.size("slots") == 0).select(*one, "n_windows", "matched", zero.alias("n_slots"), zero.alias("changed_slots"))
+    wanted = found.where(F.size("slots") > 0)
+    texts = docs.join(few(wanted.select("doc_id", KEY).distinct()), ["doc_id", KEY], "left_semi").dropDuplicates(["doc_id", KEY])
+    filled = wanted.join(texts.select("doc_id", KEY, marked(F.col("text")).alias("mark")), ["doc_id", KEY])
     filled = filled.select("*", raw_tokens(F.col("mark")).alias("doc_raw"), template_tokens(F.col("mark")).alias("doc_tokens"))
     at = lambda array, i: F.get(F.col(array), i)
-    aligned = F.filter("slots", lambda i: at("doc_tokens", i + F.col("shift")) == at("pattern", i))
-    filled = filled.withColumn("pairs", F.transform(aligned, lambda i: F.struct(at("raw", i).alias("a"), at("doc_raw", i + F.col("shift")).alias("b"))))
-    filled = filled.withColumn("distinct_pairs", F.array_distinct("pairs")).where(F.size("distinct_pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"]))))
-    changed = F.size(F.filter("pairs", lambda p: p["a"] != p["b"])).cast("long")
-    filled = filled.select("doc_id", "item_id", "n_windows", "matched", F.size("slots").cast("long").alias("n_slots"), changed.alias("changed_slots"))
-    return plain.unionAll(filled.distinct())
+
+    def changed(shift: Column) -> Column:
+        """How many slots of an alignment have another value; null if the values are not consistent."""
+        aligned = F.filter("slots", lambda i: at("doc_tokens", i + shift) == at("pattern", i))
+        values = F.transform(aligned, lambda i: F.struct(at("raw", i).alias("a"), at("doc_raw", i + shift).alias("b")))
+        sound = lambda v: F.size(F.array_distinct(v)) == F.size(F.array_distinct(F.transform(v, lambda p: p["a"])))
+        return F.get(F.transform(F.array(values), lambda v: F.when(sound(v), F.size(F.filter(v, lambda p: p["a"] != p["b"])))), F.lit(0))
+
+    filled = filled.withColumn("changed", F.array_min(F.transform("shifts", changed))).where("changed IS NOT NULL")
+    filled = filled.select(*one, "n_windows", "matched", F.size("slots").cast("long").alias("n_slots"), F.col("changed").cast("long").alias("changed_slots"))
+    return plain.unionAll(filled)
+
+
+def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, item_id, n_windows, matched, n_slots, changed_slots) for every item that leaks into a document."""
+    return found_items(docs, items).drop(KEY).distinct()
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs, all columns, without those that an item leaks into."""
-    return docs.join(leaks(docs, items).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    leaked = checkpointed(found_items(docs, items).select("doc_id", KEY).distinct())
+    return docs.withColumn(KEY, F.xxhash64("text")).join(few(leaked), ["doc_id", KEY], "left_anti").select(*docs.columns)

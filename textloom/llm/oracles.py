@@ -83,14 +83,14 @@ DECONTAMINATION = f"""
     dw AS (SELECT doc_id, unnest([{{'place': k - 1, 'w': array_to_string(t[k:k + {WINDOW - 1}], ' ')}} for k in range(1, len(t) - {WINDOW - 2})], recursive := true) FROM d1),
     hits AS (SELECT DISTINCT doc_id, item_id, pos, place - pos AS shift FROM dw JOIN keys USING (w)),
     lines AS (SELECT doc_id, item_id, shift, count(DISTINCT pos) AS n FROM hits GROUP BY ALL),
-    best AS (SELECT doc_id, item_id, shift FROM lines QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n DESC, shift) = 1),
+    best AS (SELECT doc_id, item_id, shift FROM lines QUALIFY 100 * n >= {PERCENT} * max(n) OVER (PARTITION BY doc_id, item_id)),
     found AS (SELECT doc_id, item_id, count(DISTINCT pos) AS matched FROM hits GROUP BY ALL),
     leak AS (SELECT f.doc_id, f.item_id, c.n_windows, f.matched, b.shift, i1.raw AS ir, i1.t AS it, d1.raw AS dr, d1.t AS dt
              FROM found f JOIN counts c USING (item_id) JOIN best b USING (doc_id, item_id) JOIN i1 USING (item_id) JOIN d1 USING (doc_id) WHERE 100 * f.matched >= {PERCENT} * c.n_windows),
     slots AS (SELECT *, list_filter(range(1, len(it) + 1), lambda k: it[k] <= chr(3)) AS ks FROM leak),
     pairs AS (SELECT *, list_filter(ks, lambda k: k + shift >= 1 AND dt[k + shift] = it[k]) AS ok FROM slots),
     vals AS (SELECT *, [{{'a': ir[k], 'b': dr[k + shift]}} for k in ok] AS ps FROM pairs)
-    SELECT DISTINCT doc_id, item_id, n_windows, matched, len(ks)::BIGINT AS n_slots, len(list_filter(ps, lambda p: p.a <> p.b))::BIGINT AS changed_slots
-    FROM vals WHERE len(list_distinct(ps)) = len(list_distinct(list_transform(ps, lambda p: p.a)))"""
+    SELECT doc_id, item_id, n_windows, matched, len(ks)::BIGINT AS n_slots, min(len(list_filter(ps, lambda p: p.a <> p.b)))::BIGINT AS changed_slots
+    FROM vals WHERE len(list_distinct(ps)) = len(list_distinct(list_transform(ps, lambda p: p.a))) GROUP BY ALL"""
 
 ORACLES = {"op3_decontaminate": DECONTAMINATION, "op6_sharding": SHARDING, "op7_warc": WARC, "op10_near_dup": NEAR_DUP}
