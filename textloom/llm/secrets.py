@@ -2,8 +2,11 @@
 
 The field tags white-space tokens as secret begin, inside or outside from their shape, the neighbouring
 words and features of the whole file, decoded by Viterbi over each whole text. It learns from the whole base
-matches, keyword to value, of a bounded sample (TRAIN_DOCS documents of at most TRAIN_BYTES bytes, in the order of a hash of
-the id), so it generalises their shapes and contexts; it never removes a base span.
+matches, keyword to value, of a bounded sample: TRAIN_DOCS documents of at most TRAIN_BYTES bytes, in the
+order of a hash of the id, of which all with base spans and the first TRAIN_PLAIN others are fitted. Each of
+them is seen twice: as it is, and either without its neighbours or without the details of its own shape, so
+that the field does not lean on the keywords of the base patterns but knows shapes and contexts by
+themselves. It never removes a base span. hidden_kind() measures what it finds of a kind that it has not seen.
 
 Defined cases: null or empty text has no spans; spans are in code points, end exclusive; base spans of
 different kinds may overlap, an added span overlaps no base span; repeated rows give repeated rows; if the
@@ -32,13 +35,14 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # a run of 16 or more is what is left of [0-9a-f]+ when short matches are dropped
 KINDS = ("assign", "access", "hex", "crf")
 OUT, BEGIN, INSIDE = range(3)
+#: Bounds of the sample that the field is fitted on: documents, those without base spans, bytes of a document.
 TRAIN_DOCS = 3000
 TRAIN_PLAIN = 300
 TRAIN_BYTES = 1 << 13
 BITS = 15
 #: Shortest core of an added span.
 LEAST = 8
-MEMO = 1 << 17
+MEMO, MEMO_CHARS = 1 << 17, 64
 CHUNK = 2 << 20
 _CORE = re.compile(r"[A-Za-z0-9+/_.=-]+")
 #: What names the secret at the head of a tagged run; a secret must follow.
@@ -83,7 +87,7 @@ def signature(word: str) -> str:
 
 
 class Signatures(dict):
-    """Word -> number of its signature. Words are forgotten when many; signatures are few and stay."""
+    """Word -> number of its signature. Words are forgotten when many, long ones at once; signatures are few and stay."""
 
     def __init__(self) -> None:
         self.numbers: dict[str, int] = {}
@@ -92,12 +96,13 @@ class Signatures(dict):
     def __missing__(self, word: str) -> int:
         if len(self) >= MEMO:
             self.clear()
-        name = signature(word) if len(word) < 400 else "long"
+        name = signature(word)
         at = self.numbers.get(name)
         if at is None:
             at = self.numbers[name] = len(self.names)
             self.names.append(name)
-        self[word] = at
+        if len(word) <= MEMO_CHARS:
+            self[word] = at
         return at
 
 
@@ -146,8 +151,11 @@ def _scores(weights: np.ndarray, table: np.ndarray, numbers: np.ndarray, first:
     return out
 
 
-def train(docs: DataFrame) -> dict | None:
-    """The field, fitted on the driver over the bounded sample; None if the sample has no base span."""
+def train(docs: DataFrame, hidden_kind: str | None = None) -> dict | None:
+    """The field, fitted on the driver over the bounded sample; None if the sample has no base span.
+
+    Spans of hidden_kind teach nothing: documents with one that no other kind covers stay out.
+    """
     small = text_rows(docs).where(F.octet_length("text") <= TRAIN_BYTES)
     order = F.xxhash64("doc_id")
     chosen = small.select("doc_id", order.alias("order")).orderBy("order", "doc_id").limit(TRAIN_DOCS).distinct()  # only ids are sorted and broadcast
@@ -155,6 +163,10 @@ def train(docs: DataFrame) -> dict | None:
     rows = found.select("order", "doc_id", "text").collect()
     texts = [r["text"] for r in sorted(rows, key=lambda r: (r["order"], r["doc_id"], r["text"]))[:TRAIN_DOCS]]
     spans = [base_spans(t) for t in texts]
+    if hidden_kind is not None:
+        seen = [[s for s in own if s[2] != hidden_kind] for own in spans]
+        whole = [i for i, own in enumerate(spans) if all(any(s[0] < h[1] and s[1] > h[0] for s in seen[i]) for h in own)]
+        texts, spans = [texts[i] for i in whole], [seen[i] for i in whole]
     plain = [i for i, s in enumerate(spans) if not s and not _NAMED.search(texts[i])][:TRAIN_PLAIN]
     chosen = sorted([i for i, s in enumerate(spans) if s] + plain)
     if len(chosen) == len(plain):
@@ -177,6 +189,11 @@ def train(docs: DataFrame) -> dict | None:
     right[:-1] = np.where(inside, table[numbers[1:], 4], 0)
     two[2:] = np.where(inside[1:] & inside[:-1], table[numbers[:-2], 3], 0)
     feats = np.column_stack((table[numbers, 0], table[numbers, 1], one, two, right, 1 + files))
+    masked = feats.copy()
+    alone = np.repeat(np.arange(len(counts)) % 2 == 0, counts)
+    masked[alone, 2:5] = 0  # no neighbours
+    masked[~alone, 0] = 0  # no details of the own shape
+    feats, tags, first = np.concatenate((feats, masked)), tags * 2, np.concatenate((first, first))
     forbidden = np.zeros((3, 3), bool)
     forbidden[OUT, INSIDE] = True
     weights, trans = crf.fit(feats, np.array(tags), first, 3, 1 << BITS, rounds=50, forbidden=forbidden)
@@ -260,6 +277,30 @@ def scan(docs: DataFrame) -> DataFrame:
     return map_arrow(rows, run, f"doc_id {rows.dtypes[0][1]}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string", lambda: held[0].known if held else {})
 
 
+def hidden_kind(docs: DataFrame, kind: str) -> tuple[int, int, int]:
+    """(found, spans, others): of the spans of a base kind that no other kind covers, how many a field finds that has not learned from that kind, and how many further spans it adds."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, kind))
+    held: list[Tagger] = []
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = []
+        for text, base in ((t, base_spans(t)) for t in batch.column(1).to_pylist()):
+            seen = [s for s in base if s[2] != kind]
+            wanted = [h for h in base if h[2] == kind and not any(s[0] < h[1] and s[1] > h[0] for s in seen)]
+            if shared.value is None:
+                rows.append((0, len(wanted), 0))
+                continue
+            if not held:
+                held.append(Tagger(shared.value))
+            added = added_spans(text, held[0].tags([text])[0], seen)
+            meets = lambda a, of: any(b[0] < a[1] and b[1] > a[0] for b in of)
+            rows.append((sum(meets(h, added) for h in wanted), len(wanted), sum(not meets(a, wanted) for a in added)))
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], ["found", "spans", "others"])
+
+    sums = map_arrow(text_rows(docs), run, "found long, spans long, others long").agg(*(F.sum(c) for c in ("found", "spans", "others"))).first()
+    return tuple(x or 0 for x in sums)
+
+
 def hidden(text: str, spans: list[tuple[int, int, str, int]], mark: str = "[SECRET]") -> str:
     """text with every secret, overlapping ones together, replaced by mark."""
     out, at = [], 0
