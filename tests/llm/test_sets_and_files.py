@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import base64
+import collections
 import gzip
 import hashlib
 import itertools
+import math
 import random
 import re
 import unicodedata
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -267,20 +270,63 @@ def test_licenses_and_inheritance(spark):
     }
 
 
-def test_license_cosines(spark):
-    from collections import Counter
-    import math
-    import re
-
-    said = "This file is licensed under the Apache License, Version 2.0 (see there)"
-    row = spark.createDataFrame([(said,)], "s string").select(licenses.cosines(F.col("s")).alias("c")).first()["c"]
-    spread = Counter(t for _, _, t, _ in licenses.vectors())
-    own = Counter(re.findall(licenses.TERM, said.lower()))
-    w = {t: n * licenses.idf(spread[t]) for t, n in own.items()}
-    size = math.sqrt(sum(x * x for x in w.values()))
-    for at, got in enumerate(row):
-        want = sum(w.get(t, 0) * x for k, _, t, x in licenses.vectors() if k == at) / size
-        assert got == pytest.approx(want)
+def _plain_license(text):
+    """(whole, cosine, license) of a text by dense comparison of every segment with every template."""
+    lists = [licenses.terms(t) for _, t in licenses.templates()]
+    spread = collections.Counter(t for c in lists for t in c)
+
+    def vector(counts):
+        return {t: (1 + math.log(n)) * licenses.idf(spread[t]) for t, n in counts.items()}
+
+    vectors = [vector(c) for c in lists]
+    paragraphs = re.split(r"[\r\n][ \t\r]*[\r\n]\s*", text)
+    best = (False, 0.0, "")
+    for segment in {text, *paragraphs, *re.split(r"[\r\n]+", text), *(s for p in paragraphs for s in re.split(r"(?<=[.;!?])\s+", p))}:
+        x = vector(licenses.terms(segment))
+        for (name, _), y in zip(licenses.templates(), vectors, strict=True):
+            shared = x.keys() & y.keys()
+            if len(shared) >= licenses.LEAST:
+                cosine = round(sum(x[t] * y[t] for t in shared) / math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values())), 12)
+                if cosine >= licenses.THRESHOLD:
+                    a = (segment == text, cosine, name)
+                    best = max(best, a, key=lambda b: (b[0], b[1], [-ord(c) for c in b[2]]))
+    return best if best[2] else None
+
+
+def test_license_scan_against_plain_version(spark):
+    text_of = lambda name: (Path(licenses.__file__).parent / "license_texts" / f"{name}.txt").read_text()
+    rng = random.Random(8)
+    prose = lambda n: " ".join(rng.choice(["the", "of", "code", "mit", "und", "use", "work", "xyzzy", "under", "free"]) for _ in range(n))
+    wrapped = "# This program is free software: you can redistribute it and/or\n# modify it under the terms of the GNU General Public License,\n# version 3.\n\nx = 1\n"
+    short = [t for _, t in licenses.SHORT_FORMS]
+    deep = "/".join("abcdefghijklmnopq")
+    files = [("LICENSE", text_of("MIT")), (f"{deep}/z.c", "int main;"), ("b/LICENSE", text_of("BSD-3-Clause").replace("<copyright holders>", "Ann")), ("b/c/d/e/f/g/h/i/j/k/l/x", "x"), ("c/COPYING", text_of("Apache-2.0"))]
+    files += [("c/y.py", wrapped), ("c/z.py", None), ("d/one", short[0] + " " + "word " * 300), ("d/two", "a\n" + short[2] + "\nb"), ("d/three", ""), ("e/mit", "mit."), ("e/f", prose(400)), ("e/g", prose(5) + ". " + short[14]), ("e/g", prose(5))]
+    files += [(f"m/{i}", "\n".join(rng.choice([prose(9), rng.choice(short), text_of("ISC")[:300]]) for _ in range(rng.randrange(4)))) for i in range(12)]
+    docs = spark.createDataFrame([(None if i == 9 else i // 2, p, t, 1) for i, (p, t) in enumerate(files)], "doc_id long, place string, text string, license int")
+    own = [_plain_license(t or "") for _, t in files]
+    assert [o[0] and o[2] for o in own[:5] if o] == ["MIT", "BSD-3-Clause", "Apache-2.0"]
+    votes = collections.defaultdict(collections.Counter)
+    for (p, _), o in zip(files, own, strict=True):
+        if o:
+            votes[p.rpartition("/")[0]][o[0], o[2]] += 1
+    given = {}
+    for d, of in votes.items():
+        whole = [(-n, name) for (w, name), n in of.items() if w]
+        if whole or len({name for _, name in of}) == 1:
+            given[d] = min(whole)[1] if whole else next(iter(of))[1]
+    expected = []
+    for (p, _), o in zip(files, own, strict=True):
+        d = p.rpartition("/")[0]
+        while o is None and d not in given and d:
+            d = d.rpartition("/")[0]
+        expected.append((p, o[2], "own", None) if o else (p, given[d], "inherited", d) if d in given else (p, None, "none", None))
+    for hot in (licenses.HOT, 1):
+        licenses.HOT, before = hot, licenses.HOT
+        got = [(r["path"], r["license"], r["origin"], r["directory"]) for r in licenses.scan(docs, F.col("place")).collect()]
+        licenses.HOT = before
+        assert sorted(got, key=str) == sorted(expected, key=str)
+    assert any(e[2] == "inherited" and e[3] == "" for e in expected)
 
 
 def _records(n=6):

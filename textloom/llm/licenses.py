@@ -1,34 +1,44 @@
 """License scans: sparse TF-IDF cosine against license templates, then inheritance down the directory tree.
 
-Every document is a file of a tree; its path comes from its columns. Two parts of a file are compared with
-the templates: its lines that speak of licenses (a header) and, if such lines make up most of it, the whole
-file (a license file). Terms are lower-cased words, weighted by counts in the part and by inverse document
-frequency over the templates; the vectors of the templates are known in advance, so a file's cosines are
-look-ups of its few license terms in the template weights, made where the file is read.
+Every document is a file of a tree; its path comes from its columns. The whole file, its paragraphs, its lines
+and its sentences, wrapped ones too, are segments; each is compared with the templates: full texts of
+licenses (license_texts/) and the short forms in which headers name or grant one. Terms are lower-cased words
+and numbers, weighted by 1 + ln(count) and by inverse document frequency over the templates; a term of
+no template has the largest. A segment has a template's license if their cosine reaches THRESHOLD and they
+share LEAST terms. A file whose whole text has one is a license file, of that license; else its license is
+that of its best segment.
+
+Only texts and segments that can reach THRESHOLD are scored: by Cauchy's inequality, the terms that one shares
+with a template must hold THRESHOLD squared of the template's squared length. Equal texts and equal segments
+are scored once; all comparing is joins with the few thousand terms of the templates.
 
 A file without a license of its own inherits that of the nearest ancestor directory with a license file, or
-with one license that all its own headers agree on, by joins on the path's ancestors; a path has a bounded
-depth, so each file makes at most that many rows.
+with one license that all its own headers agree on, by joins on the path's ancestors, at any depth up to the
+root, the directory "". Directories of very many files, of which there are at most HOT, are joined by
+broadcast, the others by a shuffle.
 
 Defined cases: null or empty text has no license of its own; a null part of a path is the directory "_";
 ties between templates go to the first by name; a directory whose license files disagree gives the most
-frequent license, then the first by name; headers that disagree give none; repeated rows get a row each; other columns of the input stay
-out; only native functions are used.
+frequent license, then the first by name; headers that disagree give none; repeated rows get a row each; texts
+of one id are files of their own; other columns of the input stay out; only native functions are used.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections import Counter
+from functools import lru_cache
+from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm.common import checkpointed
 
 #: Short forms in which licenses are named or granted; (license, text).
-TEMPLATES = (
+SHORT_FORMS = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
     ("MIT", "Released under the MIT License."),
@@ -48,26 +58,41 @@ TEMPLATES = (
     ("Unlicense", "This is free and unencumbered software released into the public domain. The Unlicense."),
 )
 TERM = r"[a-z]+|[0-9]+(?:\.[0-9]+)*+"
-#: A line is about licenses if it has one of these.
-CUE = r"(?i)licen[cs]e|copyright|public domain|redistribution and use|permission is hereby|CC0"
 THRESHOLD = 0.6
-DEPTH = 8
+LEAST = 3
+#: Directories with more than one in HOT of all files are joined by broadcast: there are at most HOT of them.
+HOT = 1000
+#: Scored segments are broadcast up to this number, else joined by a shuffle.
+MAX_BROADCAST = 200_000
 
 
-def vectors() -> list[tuple[int, str, str, float]]:
-    """(template, license, term, weight) with unit length for each template, and the idf of the terms."""
-    counts = [Counter(re.findall(TERM, text.lower())) for _, text in TEMPLATES]
-    spread = Counter(term for c in counts for term in c)
-    out = []
-    for at, ((name, _), c) in enumerate(zip(TEMPLATES, counts, strict=True)):
-        weights = {t: n * idf(spread[t]) for t, n in c.items()}
-        size = math.sqrt(sum(w * w for w in weights.values()))
-        out += [(at, name, t, w / size) for t, w in sorted(weights.items())]
-    return out
+@lru_cache
+def templates() -> tuple[tuple[str, str], ...]:
+    """(license, text) of all templates, by name; read on the driver."""
+    full = ((file.stem, file.read_text()) for file in (Path(__file__).parent / "license_texts").glob("*.txt"))
+    return tuple(sorted((*SHORT_FORMS, *full)))
+
 
+def terms(text: str) -> Counter:
+    return Counter(re.findall(TERM, text.lower()))
 
-def idf(templates: int) -> float:
-    return math.log((1 + len(TEMPLATES)) / (1 + templates)) + 1
+
+def idf(spread: int) -> float:
+    """Of a term that so many templates have; every template's own terms keep a positive weight."""
+    return math.log((2 + len(templates())) / (1 + spread))
+
+
+@lru_cache
+def vocabulary() -> dict[str, tuple[float, list[float]]]:
+    """Term -> its idf and its weight in each template, whose vectors have unit length."""
+    counts = [terms(text) for _, text in templates()]
+    spread = Counter(term for c in counts for term in c)
+    found = {term: (idf(n), [0.0] * len(counts)) for term, n in sorted(spread.items())}
+    for at, c in enumerate(counts):
+        size = math.sqrt(sum(((1 + math.log(n)) * found[t][0]) ** 2 for t, n in c.items()))
+        for t, n in c.items():
+            found[t][1][at] = (1 + math.log(n)) * found[t][0] / size
+    return found
 
 
 def tree_path(*parts: Column) -> Column:
@@ -75,80 +100,105 @@ def tree_path(*parts: Column) -> Column:
     return F.concat_ws("/", *(F.coalesce(p.cast("string"), F.lit("_")) for p in parts))
 
 
-def ancestors(path: Column) -> Column:
-    """(directory, distance) of the directories above a file, nearest first, at most DEPTH of them."""
-    parts = F.split(path, "/")
-    steps = F.sequence(F.lit(1), F.least(F.size(parts) - 1, F.lit(DEPTH)))
-    return F.when(F.size(parts) > 1, F.transform(steps, lambda k: F.struct(F.array_join(F.slice(parts, 1, F.size(parts) - k), "/").alias("directory"), k.alias("distance"))))
+def ancestors(directory: Column) -> Column:
+    """(directory, distance) of a directory itself and of those above it, nearest first, the root "" last."""
+    parts = F.split(directory, "/")
+    depth = F.when(directory == "", 0).otherwise(F.size(parts))
+    return F.transform(F.sequence(F.lit(0), depth), lambda k: F.struct(F.array_join(F.slice(parts, 1, depth - k), "/").alias("directory"), k.alias("distance")))
+
+
+def tokens(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(TERM), 0)
 
 
 def segments(text: Column) -> Column:
-    """The parts of a text that speak of licenses: lines, and of lines over 600 characters what is near a cue."""
-    lines = F.filter(F.split(text, r"[\n\r]+"), lambda line: line.rlike(CUE))
-    cut = F.lit(rf"(?i).{{0,300}}?(?:{CUE[4:]}).{{0,300}}")
-    return F.flatten(F.transform(lines, lambda line: F.when(F.length(line) <= 600, F.array(line)).otherwise(F.regexp_extract_all(line, cut, 0))))
+    """The different segments of a text: the whole, paragraphs, lines, and the sentences of the paragraphs."""
+    paragraphs = F.split(text, r"[\r\n][ \t\r]*[\r\n]\s*")
+    sentences = F.flatten(F.transform(paragraphs, lambda p: F.split(p, r"(?<=[.;!?])\s+")))
+    return F.array_distinct(F.concat(F.array(text), paragraphs, F.split(text, r"[\r\n]+"), sentences))
+
+
+def hashed(text: str) -> list[Column]:
+    return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")]
+
 
+def known_terms(spark: SparkSession) -> DataFrame:
+    """(term, idf, weights) of the fixed templates, to be broadcast: a few thousand rows."""
+    table = json.dumps([{"term": t, "idf": i, "weights": [{"at": k, "w": w} for k, w in enumerate(of) if w]} for t, (i, of) in vocabulary().items()])
+    rows = spark.range(1).select(F.explode(F.from_json(F.lit(table), "array<struct<term:string,idf:double,weights:array<struct<at:int,w:double>>>>")).alias("v"))
+    return F.broadcast(rows.select("v.*"))
 
-def cosines(said: Column) -> Column:
-    """Array of a segment's cosines with the templates: both sides sparse, terms that no template has count in its length only."""
-    table = vectors()
-    by_term: dict[str, dict[int, float]] = {}
-    for at, _, term, weight in table:
-        by_term.setdefault(term, {})[at] = weight
-    spread = Counter(term for _, _, term, _ in table)
-    scale = F.create_map(*(x for t in sorted(by_term) for x in (F.lit(t), F.lit(idf(spread[t])))))
-    found = F.regexp_extract_all(F.lower(said), F.lit(TERM), 0)
-    counted = F.transform(F.array_distinct(found), lambda t: F.struct(t.alias("t"), (F.size(F.filter(found, lambda x: x == t)) * F.coalesce(F.element_at(scale, t), F.lit(idf(0)))).alias("w")))
-    length = F.sqrt(F.aggregate(counted, F.lit(0.0), lambda sum_, x: sum_ + x["w"] * x["w"]))
 
-    def dot(at: int) -> Column:
-        own = F.create_map(*(x for t, of in sorted(by_term.items()) if at in of for x in (F.lit(t), F.lit(of[at]))))
-        return F.aggregate(counted, F.lit(0.0), lambda sum_, x: sum_ + x["w"] * F.coalesce(F.element_at(own, x["t"]), F.lit(0.0)))
+def reaching(said: DataFrame, text: str) -> DataFrame:
+    """(h1, h2) of those of said (h1, h2, text) that share terms of enough weight with a template."""
+    shared = said.select("h1", "h2", F.explode(F.array_distinct(tokens(F.col(text)))).alias("term")).join(known_terms(said.sparkSession), "term")
+    masses = shared.select("h1", "h2", F.explode("weights").alias("v")).groupBy("h1", "h2", "v.at").agg(F.sum(F.col("v.w") * F.col("v.w")).alias("mass"), F.count("*").alias("n"))
+    return masses.where((F.col("mass") >= 0.999 * THRESHOLD**2) & (F.col("n") >= LEAST)).select("h1", "h2").distinct()
 
-    dots = F.array(*map(dot, range(len(TEMPLATES))))
-    return F.when(F.size(found) > 0, F.transform(dots, lambda d: d / length)).otherwise(F.array_repeat(F.lit(0.0), len(TEMPLATES)))
 
+def few(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it has at most MAX_BROADCAST rows."""
+    return F.broadcast(df) if df.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST else df
 
-def own_license(text: Column) -> Column:
-    """Struct (cosine, license, whole) of a text, null if none of its segments reaches THRESHOLD."""
-    names = F.array(*(F.lit(name) for name, _ in TEMPLATES))
-    parts = segments(text)
 
-    def best(said: Column) -> Column:
-        every = F.transform(F.array(cosines(said)), lambda c: F.struct(F.round(F.array_max(c), 12).alias("cosine"), F.get(names, F.array_position(c, F.array_max(c)).cast("int") - 1).alias("license")))
-        return every[0]
+def scored(said: DataFrame) -> DataFrame:
+    """(h1, h2, cosine, license) of the different segments said (h1, h2, segment) that have a license."""
+    counted = said.select("h1", "h2", F.explode(tokens(F.col("segment"))).alias("term")).groupBy("h1", "h2", "term").agg(F.count("*").alias("n"))
+    counted = counted.join(known_terms(said.sparkSession), "term", "left")
+    counted = counted.select("h1", "h2", ((1 + F.log(F.col("n").cast("double"))) * F.coalesce("idf", F.lit(idf(0)))).alias("x"), "weights")
+    sizes = counted.groupBy("h1", "h2").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("size"))
+    dots = counted.select("h1", "h2", "x", F.explode("weights").alias("v")).groupBy("h1", "h2", "v.at").agg(F.sum(F.col("x") * F.col("v.w")).alias("dot"), F.count("*").alias("shared"))
+    names = F.split(F.lit(" ".join(name for name, _ in templates())), " ")
+    cosines = dots.where(F.col("shared") >= LEAST).join(sizes, ["h1", "h2"]).select("h1", "h2", F.round(F.col("dot") / F.col("size"), 12).alias("cosine"), (-F.col("at")).alias("first"))
+    best = cosines.where(F.col("cosine") >= THRESHOLD).groupBy("h1", "h2").agg(F.max(F.struct("cosine", "first")).alias("b"))
+    return best.select("h1", "h2", "b.cosine", F.get(names, -F.col("b.first")).alias("license"))
 
-    size = F.aggregate(parts, F.lit(0), lambda sum_, p: sum_ + F.length(p))
-    top = F.transform(F.array(F.transform(parts, best)), lambda all_: F.aggregate(all_, F.get(all_, F.lit(0)), lambda a, b: F.when(b["cosine"] > a["cosine"], b).otherwise(a)))[0]
-    found = F.transform(F.array(top), lambda b: F.when(b["cosine"] >= THRESHOLD, F.struct(b["cosine"].alias("cosine"), b["license"].alias("license"), (2 * size >= F.length(text)).alias("whole"))))[0]
-    return F.when(text.rlike(CUE), found)
+
+def own_licenses(texts: DataFrame) -> DataFrame:
+    """(h1, h2, own): of each different text (h1, h2, text) with a license of its own, a struct (whole, cosine, license)."""
+    candidates = checkpointed(reaching(texts, "text"))
+    parts = texts.join(few(candidates), ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"])
+    parts = parts.select(F.col("h1").alias("of1"), F.col("h2").alias("of2"), F.explode(segments(F.col("text"))).alias("segment")).select("of1", "of2", *hashed("segment"), "segment")
+    parts = checkpointed(parts.dropDuplicates(["of1", "of2", "h1", "h2"]))
+    wanted = checkpointed(reaching(parts.select("h1", "h2", "segment").dropDuplicates(["h1", "h2"]), "segment"))
+    said = parts.join(few(wanted), ["h1", "h2"], "left_semi")
+    found = checkpointed(scored(said.select("h1", "h2", "segment").dropDuplicates(["h1", "h2"])))
+    whole = (F.col("h1") == F.col("of1")) & (F.col("h2") == F.col("of2"))
+    licensed = parts.select("of1", "of2", "h1", "h2", whole.alias("whole")).join(few(found), ["h1", "h2"])
+    best = licensed.groupBy("of1", "of2").agg(F.max(F.struct("whole", "cosine")).alias("top"), F.collect_set(F.struct("whole", "cosine", "license")).alias("all"))  # a text's own segments
+    names = F.transform(F.filter("all", lambda x: (x["whole"] == F.col("top.whole")) & (x["cosine"] == F.col("top.cosine"))), lambda x: x["license"])
+    return best.select(F.col("of1").alias("h1"), F.col("of2").alias("h2"), F.struct("top.whole", "top.cosine", F.array_min(names).alias("license")).alias("own"))
 
 
 def directory_licenses(files: DataFrame) -> DataFrame:
     """(directory, license): of its license files the most frequent, or else the one that all its headers agree on."""
     votes = files.where(F.col("own").isNotNull()).groupBy("directory", F.col("own.license").alias("license"), F.col("own.whole").alias("whole")).agg(F.count("*").alias("n"))
-    best = votes.groupBy("directory").agg(
-        F.max(F.when(F.col("whole"), F.struct("n", "license"))).alias("file"),
-        F.max(F.when(F.col("whole"), F.col("n"))).alias("most"),
-        F.countDistinct("license").alias("kinds"),
-        F.min("license").alias("header"),
-    )
+    best = votes.groupBy("directory").agg(F.max(F.when(F.col("whole"), F.col("n"))).alias("most"), F.countDistinct("license").alias("kinds"), F.min("license").alias("header"))
     named = votes.join(best, "directory").where(F.col("whole") & (F.col("n") == F.col("most"))).groupBy("directory").agg(F.min("license").alias("license"))
-    agreed = best.where("file IS NULL AND kinds = 1").select("directory", F.col("header").alias("license"))
+    agreed = best.where("most IS NULL AND kinds = 1").select("directory", F.col("header").alias("license"))
     return named.unionAll(agreed)
 
 
+def nearest_licenses(files: DataFrame) -> DataFrame:
+    """(directory, files, near): the nearest giver (distance, giver, license) of each directory that has one."""
+    places = files.groupBy("directory").agg(F.count("*").alias("files"))
+    above = places.select("directory", "files", F.explode(ancestors(F.col("directory"))).alias("a")).select("directory", "files", F.col("a.directory").alias("giver"), F.col("a.distance").alias("distance"))
+    given = directory_licenses(files).withColumnRenamed("directory", "giver")
+    return above.join(given, "giver").groupBy("directory", "files").agg(F.min(F.struct("distance", "giver", "license")).alias("near"))
+
+
 def scan(docs: DataFrame, path: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, path, license, cosine, origin, directory) for every document; origin: own, inherited or none."""
-    files = docs.select(F.col(id_col).alias("doc_id"), path.alias("path"), own_license(F.coalesce(F.col(text_col), F.lit(""))).alias("own"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), path.alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).select("*", *hashed("text"))
+    own = checkpointed(own_licenses(rows.select("h1", "h2", "text")))
     parent = F.array_join(F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - 1), "/")
-    files = checkpointed(files.withColumn("directory", parent))
-    given = directory_licenses(files)
-    places = files.select("directory").distinct()
-    above = places.select("directory", F.explode(F.concat(F.array(F.struct(F.col("directory"), F.lit(0).alias("distance"))), F.coalesce(ancestors(F.col("directory")), F.array()))).alias("a"))
-    above = above.select("directory", F.col("a.directory").alias("giver"), F.col("a.distance").alias("distance"))
-    nearest = above.join(given.withColumnRenamed("directory", "giver"), "giver").groupBy("directory").agg(F.min(F.struct("distance", "giver", "license")).alias("near"))
-    out = files.join(nearest, "directory", "left")
+    files = rows.select("doc_id", "path", "h1", "h2", parent.alias("directory")).join(few(own), ["h1", "h2"], "left")
+    files = checkpointed(files.select("doc_id", "path", "directory", "own"))
+    nearest = checkpointed(nearest_licenses(files))
+    large = files.count() // HOT
+    hot = F.broadcast(nearest.where(F.col("files") > large).select("directory", "near"))
+    rest = nearest.where(F.col("files") <= large).select("directory", "near")
+    out = files.join(hot, "directory").unionByName(files.join(hot.select("directory"), "directory", "left_anti").join(rest, "directory", "left"))
     origin = F.when(F.col("own").isNotNull(), "own").when(F.col("near").isNotNull(), "inherited").otherwise("none")
     giver = F.when(F.col("own").isNull(), F.col("near.giver"))
     return out.select("doc_id", "path", F.coalesce("own.license", "near.license").alias("license"), F.col("own.cosine").alias("cosine"), origin.alias("origin"), giver.alias("directory"))
