@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from textloom.session import ship_package
+
 
 def shape(epsilon: float = 0.01, delta: float = 0.01) -> tuple[int, int]:
     """(width, depth): ceil(e / epsilon) and ceil(ln(1 / delta))."""
@@ -38,6 +42,59 @@ def estimate(keys: DataFrame, name: str, sketch: DataFrame, width: int, depth: i
     return found.groupBy(name).agg(F.min(F.coalesce("n", F.lit(0))).alias("estimate"))
 
 
+def mined(df: DataFrame, key: str, epsilon: float = 1e-5, delta: float = 1e-5) -> DataFrame:
+    """(key, n) of the keys that a sketch has counted more than once; n is its estimate, never too small.
+
+    Equal keys are combined before they reach the sketch, and a sketch of this width is joined by a shuffle.
+    """
+    width, depth = shape(epsilon, delta)
+    counted = df.groupBy(key).agg(F.count("*").alias("k"))
+    at = counted.select(key, "k", F.explode(cells(F.col(key), width, depth)).alias("c")).select(key, "k", "c.line", "c.place")
+    held = at.groupBy("line", "place").agg(F.sum("k").alias("n"))
+    return at.join(held, ["line", "place"]).groupBy(key).agg(F.min("n").alias("n")).where("n > 1")
+
+
+#: Expected insertions and share of false positives of a Bloom filter; its bits and hashes follow.
+INSERTIONS, FALSE_SHARE = 1_000_000, 0.03
+
+
+class Bloom:
+    """Whether a 64-bit hash was seen before; some that were not are taken for seen."""
+
+    def __init__(self, insertions: int = INSERTIONS, share: float = FALSE_SHARE):
+        self.bits = math.ceil(-insertions * math.log(share) / math.log(2) ** 2)
+        self.hashes = max(1, round(self.bits / insertions * math.log(2)))
+        self.words = bytearray(-(-self.bits // 8))
+
+    def seen(self, value: int) -> bool:
+        """Also notes the value."""
+        low, high, before = value & 0xFFFFFFFF, value >> 32 & 0xFFFFFFFF, True
+        for i in range(1, self.hashes + 1):
+            at = (low + i * high) % self.bits
+            if not self.words[at >> 3] >> (at & 7) & 1:
+                before = False
+                self.words[at >> 3] |= 1 << (at & 7)
+        return before
+
+
+def bloom_distinct(df: DataFrame, streams: int = 16) -> DataFrame:
+    """The rows of df that one Bloom filter for each of some streams has not seen; equal rows are in one stream.
+
+    A stream's memory is its filter, of one megabyte; what it takes for seen by mistake is left out.
+    """
+    names = df.columns
+    dealt = df.withColumn("_hash", F.xxhash64(*names)).repartition(streams, "_hash")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bloom = Bloom()
+        for batch in batches:
+            fresh = [not bloom.seen(h) for h in batch.column(len(names)).to_pylist()]
+            yield batch.select(list(range(len(names)))).filter(pa.array(fresh, pa.bool_()))
+
+    ship_package(df.sparkSession)
+    return dealt.mapInArrow(run, df.schema)
+
+
 def builtin(df: DataFrame, key: str, epsilon: float = 0.01, confidence: float = 0.99, seed: int = 42) -> DataFrame:
     """The same sketch in Spark's own binary form."""
     return df.agg(F.count_min_sketch(key, F.lit(epsilon), F.lit(confidence), F.lit(seed)).alias("sketch"))
@@ -90,6 +147,7 @@ def pattern_aliases(df: DataFrame, text: Column, most: int = 100) -> DataFrame:
     mined = symbol_patterns(df, text)
     one = F.length(F.regexp_replace("pattern", "[^wz]", "")) == 1
     wanted = common_part(mined.where("n > 1").select("pattern", "n"), "pattern").where(one)
+    # fixed values: the symbols of the short forms
     marks, pairs = "!?#_-|", ("()", "{}", "[]", "__", "--", "||")
     forms = [(f"{p[0]}{m}{k}{p[1]}",) for k in "wz" for p in pairs for m in marks]
     free = df.sparkSession.createDataFrame(forms, "alias string").join(mined.select(F.col("pattern").alias("alias")), "alias", "left_anti")

@@ -88,8 +88,8 @@ def compact_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def can_spare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    heads = docs(spark, sf_dir).select(F.substring(C.compact_words(F.col("text")), 1, 10).alias("pattern"))
-    return heads.groupBy("pattern").agg(F.count("*").alias("n")).withColumn("saved", C.can_spare(F.col("pattern"), F.col("n")))
+    parts = docs(spark, sf_dir).select(C.compact_words(F.col("text")).alias("s")).select(F.explode(A.substrings(1, 10)).alias("pattern"))
+    return parts.groupBy("pattern").agg(F.count("*").alias("n")).withColumn("saved", C.can_spare(F.col("pattern"), F.col("n")))
 
 
 def char_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,9 +133,7 @@ def _burst(name: str, tokens: str, where: str) -> str:
 def _skeleton(text: str) -> str:
     out = rf"regexp_replace(regexp_replace({text}, '\w+( \w+)+', chr(1), 'g'), '\w+', 'w', 'g')"
     out = f"replace({out}, chr(1), 'z')"
-    for _ in range(8):
-        out = rf"regexp_replace(regexp_replace({out}, 'z([.,] z)+', 'z', 'g'), 'w([,] z)+', 'z', 'g')"
-    return out
+    return rf"regexp_replace({out}, '((w,|z[.,]) )*z', 'z', 'g')"
 
 
 def _spare(pattern: str) -> str:
@@ -191,7 +189,7 @@ ORACLES = {
         SELECT sep, n, lo, hi, round(mean, 6) AS mean, round(sd, 6) AS sd, round(CASE WHEN sd > 0 THEN (hi - lo) / sd * length(sep) * ln(n) ELSE 0 END, 6) AS score
         FROM g ORDER BY score DESC, sep LIMIT 20""",
     "compact_words": f"SELECT doc_id, {_skeleton('text')} AS skeleton FROM documents",
-    "can_spare": f"WITH p AS (SELECT left({_skeleton('text')}, 10) AS pattern FROM documents), g AS (SELECT pattern, count(*) AS n FROM p GROUP BY pattern) SELECT pattern, n, n * {_spare('pattern')} AS saved FROM g",
+    "can_spare": f"WITH rows_ AS (SELECT {_skeleton('text')} AS s FROM documents), p AS ({_SUBS.format(low=1, high=10, name='pattern')}), g AS (SELECT pattern, count(*) AS n FROM p GROUP BY pattern) SELECT pattern, n, n * {_spare('pattern')} AS saved FROM g",
     "char_vocab": f"SELECT unicode(c) AS code_point, count(*) AS n FROM (SELECT {CHARS} AS c FROM documents) WHERE c <> '' GROUP BY 1",
     "perplexity": """
         WITH c AS (SELECT doc_id, string_split(text, '') AS c FROM documents WHERE length(text) > 1),

@@ -13,8 +13,10 @@ from textloom.operators import analysis as A
 from textloom.operators import backref, blocks, encode, sketch
 from textloom.operators import extract as X
 from textloom.operators.codec import REGISTRY, Pipeline
+from textloom.plans.analysis_queries import _SUBS, _skeleton
 from textloom.plans.views import ESCAPED, MARKUP, WIKI
 from textloom.session import ship_package, table
+from textloom.streaming import topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -102,11 +104,11 @@ def sentence_lc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", C.sentence_lc(F.col("text")).alias("text"))
 
 
-@query(ALL_TRUE)
+@query()
 def sentence_uc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the codec restores a text, whether it changed it, and the coded or raw text."""
     rows = docs(spark, sf_dir).select("doc_id", "text", C.sentence_gate(F.col("text")).alias("g"))
-    back = F.when(F.col("g.ok"), C.sentence_uc(F.col("g.text"))).otherwise(F.col("g.text"))
-    return rows.select("doc_id", (back == F.col("text")).alias("same"))
+    return rows.select("doc_id", F.col("g.ok").alias("ok"), (F.col("g.text") != F.col("text")).alias("changed"), F.col("g.text").alias("coded"))
 
 
 @query("""SELECT doc_id, list_aggregate(list_transform(string_split(replace(text, chr(10), chr(7)), ''), lambda c: CASE WHEN unicode(c) < 32 OR unicode(c) BETWEEN 127 AND 159 THEN '{' || unicode(c) || '}' ELSE c END), 'string_agg', '') AS text FROM documents""")
@@ -260,10 +262,16 @@ def cms_builtin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type ORDER BY n DESC, event_type LIMIT 3")
-def topk_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+def topk_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.top_k(table(spark, sf_dir, "events"), "event_type", 3)
 
 
+@query()
+def topk_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The randomised bounded summary of each of 16 streams of events, dealt by user and read in the order of their ids."""
+    return topk.summaries(table(spark, sf_dir, "events"), "user_id", "event_id", capacity=100)
+
+
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def topk_approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.approximate_top_k(table(spark, sf_dir, "events"), "event_type", 100)
@@ -271,7 +279,7 @@ def topk_approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def bloom_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("user_id", "event_type").dropDuplicates()
+    return sketch.bloom_distinct(table(spark, sf_dir, "events").select("user_id", "event_type"))
 
 
 @query()
@@ -280,14 +288,15 @@ def murmur3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", sketch.murmur3(F.col("c_name")).alias("hash"))
 
 
-@query(r"""
-    WITH w AS (SELECT unnest(regexp_extract_all(html, '[^\w\s]+')) AS pattern FROM pages), g AS (SELECT pattern, count(*) AS n FROM w GROUP BY pattern HAVING count(*) > 1),
+@query(f"""
+    WITH u AS (SELECT {HTML_OUT.format("html")} AS h FROM pages), rows_ AS (SELECT {_skeleton("h")} AS s FROM u), p AS ({_SUBS.format(low=2, high=10, name="pattern")}),
+    g AS (SELECT pattern, count(*) AS n FROM p GROUP BY pattern HAVING count(*) > 1),
     c AS (SELECT pattern, n, coalesce(sum(n) OVER (ORDER BY n DESC, pattern ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(n) OVER () AS total FROM g)
     SELECT pattern, n FROM c WHERE 100 * before < 80 * total""")
 def cms_pattern_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of symbols that make up the first 80 % of all repeated ones."""
-    found = A.frequency(table(spark, sf_dir, "pages"), A.matches(F.col("html"), r"[^\w\s]+"), "pattern").where("n > 1")
-    return sketch.common_part(found, "pattern")
+    """Skeleton patterns that make up the first 80 % of all repeated ones, counted by a Count-Min sketch."""
+    rows = table(spark, sf_dir, "pages").select(C.compact_words(C.html_unescape(F.col("html"))).alias("s"))
+    return sketch.common_part(sketch.mined(rows.select(F.explode(A.substrings(2, 10)).alias("pattern")), "pattern"), "pattern")
 
 
 @query()

@@ -11,8 +11,11 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from textloom.session import ship_package
+
 
 class TopK:
     def __init__(self, capacity: int, seed: int = 42, counts: dict[str, int] | None = None, trash: int = 0):
@@ -48,3 +51,28 @@ def stream_top_k(stream: DataFrame, group: str, key: str, capacity: int, seed: i
         yield pd.DataFrame({group: [str(name[0])] * len(top.counts), key: list(top.counts), "n": list(top.counts.values())})
 
     return stream.groupBy(group).applyInPandasWithState(update, f"{group} string, {key} string, n long", "keys array<string>, counts array<long>, trash long", "update", GroupStateTimeout.NoTimeout)
+
+
+def summaries(df: DataFrame, key: str, order: str, capacity: int, streams: int = 16, seed: int = 42) -> DataFrame:
+    """(stream, key, n): the summary of each of some streams of a table, dealt by the key and read in an order; memory follows the capacity."""
+    rows = df.select(F.pmod(F.xxhash64(key), F.lit(streams)).cast("int").alias("stream"), F.col(key).cast("string").alias(key), order)
+    rows = rows.where(F.col(key).isNotNull()).repartition(streams, "stream").sortWithinPartitions("stream", order, key)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, top = None, None
+
+        def out() -> pd.DataFrame:
+            return pd.DataFrame({"stream": [at] * len(top.counts), key: list(top.counts), "n": list(top.counts.values())})
+
+        for batch in batches:
+            for stream, value in zip(batch["stream"].tolist(), batch[key].tolist(), strict=True):
+                if stream != at:
+                    if top is not None:
+                        yield out()
+                    at, top = stream, TopK(capacity, seed)
+                top.add(value)
+        if top is not None:
+            yield out()
+
+    ship_package(df.sparkSession)
+    return rows.mapInPandas(run, f"stream int, {key} string, n long")
