@@ -149,18 +149,20 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 60,
 
 
 def chosen_share(docs: list[list[str]], labels: list[int], shares: tuple[float, ...] = SHARES, folds: int = 4) -> float:
-    """The share for seeds() under which words learned from the other folds of the training rows find the toxic rows of each fold best (F1); the largest of equal ones."""
-    hits = dict.fromkeys(shares, 0.0)
-    found_in = [{w for w in map(normal, words) if w} for words in docs]
+    """The share for seeds() under which words learned from the other folds of the training rows find most toxic rows of each fold, less the others found; the largest of equal ones."""
+    hits = dict.fromkeys(shares, 0)
     for fold in range(folds):
         inside = [i for i in range(len(docs)) if i % folds != fold]
         counts = seed_counts([docs[i] for i in inside], [labels[i] for i in inside])
-        for share in shares:
-            known = seeds(*counts, share=share)
-            for i in range(fold, len(docs), folds):
-                caught = any((0, w) in known or any((k, w[:k]) in known for k in PREFIXES if len(w) > k) for w in found_in[i])
-                hits[share] += 2 * (caught and labels[i] > 0) / max(1, sum(labels)) - (caught and labels[i] == 0) / max(1, sum(labels))
-    return max(shares, key=lambda share: (round(hits[share], 9), share))
+        known = {share: seeds(*counts, share=share) for share in shares}
+        del counts
+        for i in range(fold, len(docs), folds):
+            own = {w for w in map(normal, docs[i]) if w}
+            own = {(0, w) for w in own} | {(k, w[:k]) for w in own for k in PREFIXES if len(w) > k}
+            for share in shares:
+                if not own.isdisjoint(known[share]):
+                    hits[share] += 1 if labels[i] else -1
+    return max(shares, key=lambda share: (hits[share], share))
 
 
 def seed_counts(docs: list[list[str]], labels: list[int]) -> tuple[dict[int, Counter], tuple[int, int]]:
