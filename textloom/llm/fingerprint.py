@@ -18,8 +18,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.llm.common import checkpointed
 from textloom.llm.ranks import block_columns
 
+#: Buckets of several documents are broadcast up to this number, else joined by a shuffle.
+MAX_BROADCAST = 200_000
 _NORMALIZER, _CASES = "com.ibm.icu.text.Normalizer", "com.ibm.icu.lang.UCharacter"
 
 
@@ -38,6 +41,17 @@ def digest(form: Column) -> Column:
     return F.concat(part(F.xxhash64(form)), part(F.xxhash64(F.lit(1), form)), F.lower(F.hex(F.octet_length(form).cast("long"))))
 
 
+def with_fingerprint(rows: DataFrame, text: str, name: str) -> DataFrame:
+    """rows with the fingerprint of a text column; the canonical form is a column of its own first, so that it is made once."""
+    formed = rows.select("*", canonical(F.col(text)).alias("_form"))
+    return formed.select("*", digest(F.col("_form")).alias(name)).drop("_form")
+
+
+def few(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it has at most MAX_BROADCAST rows."""
+    return F.broadcast(df) if df.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST else df
+
+
 def alike(a: Column, b: Column, text_a: Column, text_b: Column) -> Column:
     """1.0 if the fingerprints are equal and so are the canonical bytes."""
     same = F.when(a == b, F.when(text_a == text_b, 1.0).otherwise(F.when(canonical(text_a) == canonical(text_b), 1.0).otherwise(0.0)))
@@ -66,7 +80,7 @@ def neighbours(docs: DataFrame) -> DataFrame:
     follows = inside.join(F.broadcast(ranges), "wide").select(
         F.when(ends, F.col("next_wide")).otherwise(F.col("wide")).alias("from_wide"), F.when(ends, F.col("next_first")).otherwise(F.col("inner")).alias("from_block"), "wide", "block"
     )
-    rows = rows.select("doc_id", "text", digest(canonical(F.col("text"))).alias("fingerprint"), order.alias("wide"), part.alias("block"))
+    rows = with_fingerprint(rows.select("doc_id", "text", order.alias("wide"), part.alias("block")), "text", "fingerprint")
     within = Window.partitionBy("wide", "block").orderBy(F.col("doc_id").desc_nulls_last(), "text")
     near = rows.select("*", F.row_number().over(within).alias("row"), F.lead(F.struct("text", "fingerprint")).over(within).alias("next"))
     heads = near.where("row = 1").select(F.col("wide").alias("from_wide"), F.col("block").alias("from_block"), F.struct("text", "fingerprint").alias("head"))
@@ -83,7 +97,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """
     edited = F.expr("concat(left(text, length(text) - cast(floor(length(text) / 3) as int)), left(next, cast(floor(length(text) / 3) as int)))")
     near = neighbours(docs).select("*", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"))
-    near = near.select("*", digest(canonical(F.col("edited"))).alias("edited_fingerprint"))
+    near = with_fingerprint(near, "edited", "edited_fingerprint")
     near = near.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
         alike(F.col("fingerprint"), F.col("edited_fingerprint"), F.col("text"), F.col("edited")).alias("near_edited"),
@@ -96,30 +110,33 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def buckets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(fingerprint, least) of the buckets of several documents, and (doc_id, t, least) of the documents of buckets that are collisions.
 
-    Only ids and fingerprints are grouped first. The canonical bytes of the documents in buckets of several
+    Only ids and fingerprints are grouped first, without texts. The canonical bytes of the documents in buckets of several
     are then compared: a bucket's smallest and largest form, combined before the shuffle, are equal unless
     different forms collide, and then the bucket is split by its forms. t tells rows of one id apart.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.select("doc_id", "text", digest(canonical(F.col("text"))).alias("fingerprint"))
-    several = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1").select("fingerprint", "least")
-    members = rows.join(several, "fingerprint", "left_semi").select("doc_id", F.xxhash64("text").alias("t"), "fingerprint", canonical(F.col("text")).alias("form"))
-    mixed = members.groupBy("fingerprint").agg(F.min("form").alias("low"), F.max("form").alias("high")).where("low <> high").select("fingerprint")
-    collided = members.join(mixed, "fingerprint", "left_semi")
-    forms = collided.groupBy("fingerprint", "form").agg(F.min("doc_id").alias("least"))
-    return several, collided.join(forms, ["fingerprint", "form"]).select("doc_id", "t", "least").distinct()
+    slim = with_fingerprint(rows, "text", "fingerprint").select("doc_id", "fingerprint")
+    several = checkpointed(slim.groupBy("fingerprint").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1").select("fingerprint", "least"))
+    forms = rows.select("doc_id", F.xxhash64("text").alias("t"), canonical(F.col("text")).alias("form")).select("*", digest(F.col("form")).alias("fingerprint"))
+    members = forms.join(few(several.select("fingerprint")), "fingerprint", "left_semi")
+    mixed = checkpointed(members.groupBy("fingerprint").agg(F.min("form").alias("low"), F.max("form").alias("high")).where("low <> high").select("fingerprint"))
+    if mixed.isEmpty():
+        return several, members.select("doc_id", "t", F.col("doc_id").alias("least")).limit(0)
+    collided = members.join(few(mixed), "fingerprint", "left_semi")
+    least = collided.groupBy("fingerprint", "form").agg(F.min("doc_id").alias("least"))
+    return several, checkpointed(collided.join(least, ["fingerprint", "form"]).select("doc_id", "t", "least").distinct())
 
 
 def with_groups(rows: DataFrame, docs: DataFrame) -> DataFrame:
     """rows (doc_id, t, fingerprint, ...) of docs with group_id; no texts are in these joins."""
     several, split = buckets(docs)
     split = split.select(F.col("doc_id").alias("own_id"), F.col("t").alias("own_t"), F.col("least").alias("of_form"))
-    found = rows.join(several, "fingerprint", "left").join(split, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("t") == F.col("own_t")), "left")
+    found = rows.join(few(several), "fingerprint", "left").join(split, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("t") == F.col("own_t")), "left")
     return found.select(*rows.columns, F.coalesce(F.when(F.col("own_t").isNotNull(), F.col("of_form")).otherwise(F.col("least")), F.col("doc_id")).alias("group_id"))
 
 
 def exact_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, group_id): the smallest id of the documents with the same canonical bytes."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.select("doc_id", F.xxhash64("text").alias("t"), digest(canonical(F.col("text"))).alias("fingerprint"))
+    rows = with_fingerprint(rows, "text", "fingerprint").select("doc_id", F.xxhash64("text").alias("t"), "fingerprint")
     return with_groups(rows, docs).drop("t")
