@@ -286,10 +286,11 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: f
 def toxic_spans(text: str, p: np.ndarray) -> list[dict]:
     """Runs of tokens with a marginal over 0.5."""
     out: list[dict] = []
-    if not (p > 0.5).any():
+    hits = np.flatnonzero(p > 0.5)
+    if not len(hits):
         return out
     before = False
-    for m, x in zip(re.finditer(r"\S+", text), p.tolist(), strict=True):
+    for m, x in zip(re.finditer(r"\S+", text), p[: hits[-1] + 1].tolist()):  # noqa: B905  no token after the last hit matters
         if x > 0.5 and before:
             out[-1] |= {"end": m.end(), "p": max(out[-1]["p"], x)}
         elif x > 0.5:
