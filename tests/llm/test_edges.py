@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from textloom.llm import bpe, decontaminate, fingerprint, licenses, near_dup, quality, secrets, sharding, toxicity, warc
+from textloom.llm import bpe, common, decontaminate, fingerprint, licenses, near_dup, quality, secrets, sharding, toxicity, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = "word another third " * 12_000
@@ -97,3 +97,12 @@ def test_pipeline_stages_at_the_edges(spark, labels, items, tmp_path, at):
     elif at:
         assert len(rows) == len(ROWS)
     assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_checkpoints_put_the_batch_size_back(spark):
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    before = [spark.conf.get(name) for name in names]
+    with pytest.raises(ZeroDivisionError), common.arrow_batches(spark, 7, 4000):
+        assert [spark.conf.get(name) for name in names] == ["7", "4000"]
+        raise ZeroDivisionError
+    assert [spark.conf.get(name) for name in names] == before

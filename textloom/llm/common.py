@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -38,9 +39,28 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df written once to the shared folder: lineage ends there, and lost executors cost nothing."""
+    """df written once to the shared folder: lineage ends there, and lost executors cost nothing.
+
+    On the way to Python, Arrow batches are no larger than what is worked on at a time: ten thousand rows with
+    the sets of both documents of a pair would be a hundred megabytes in the JVM and again in the worker.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with arrow_batches(df.sparkSession):
+        return df.checkpoint(eager=True)
+
+
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> Iterator[None]:
+    """Arrow batches of about that many rows and bytes for what runs inside; the session's own settings are put back."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {name: spark.conf.get(name) for name in wanted}
+    try:
+        for name, most in wanted.items():
+            spark.conf.set(name, most)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def slices(batch: pa.RecordBatch, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
