@@ -107,7 +107,7 @@ def symbol_patterns(df: DataFrame, text: Column, least: int = 2, longest: int =
     return counted.where(can_spare(F.col("pattern"), F.lit(1)) > 0).withColumn("saved", can_spare(F.col("pattern"), F.col("n")))
 
 
-def separators(df: DataFrame, text: Column, longest: int = 12) -> DataFrame:
+def separators(df: DataFrame, text: Column, longest: int = 63) -> DataFrame:
     """(sep, n): repeated substrings that no string one longer holds as often (closed patterns)."""
     rows = df.select(text.alias("s"))
     found = rows.select(F.explode(substrings(1, longest)).alias("sep")).groupBy("sep").agg(F.count("*").alias("n")).where("n > 1")

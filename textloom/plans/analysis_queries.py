@@ -176,7 +176,7 @@ ORACLES = {
         g AS (SELECT pattern, count(*) AS n FROM p GROUP BY pattern)
         SELECT pattern, n, n * {_spare("pattern")} AS saved FROM g WHERE {_spare("pattern")} > 0 ORDER BY saved DESC, pattern LIMIT 100""",
     "separator_mining": f"""
-        WITH rows_ AS (SELECT text AS s FROM benchmark), p AS ({_SUBS.format(low=1, high=12, name="sep")}),
+        WITH rows_ AS (SELECT text AS s FROM benchmark), p AS ({_SUBS.format(low=1, high=63, name="sep")}),
         g AS (SELECT sep, count(*) AS n FROM p GROUP BY sep HAVING count(*) > 1)
         SELECT sep, n FROM g WHERE NOT EXISTS (SELECT 1 FROM (SELECT left(sep, -1) AS inner_, n FROM g UNION SELECT substr(sep, 2), n FROM g) l WHERE l.inner_ = g.sep AND l.n = g.n)
         ORDER BY n DESC, sep LIMIT 100""",
