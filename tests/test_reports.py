@@ -99,6 +99,35 @@ def test_separators_are_closed(spark):
     assert found == want
 
 
+def test_grams_of_any_text(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abé😀 ") for _ in range(rng.randrange(60))) for _ in range(40)] + ["", None, "a", "aaaaaaaaa", "ababababab"]
+    want = {}
+    for text in texts:
+        for gram in {text[i : i + k] for k in range(2, 6) for i in range(len(text) - k + 1)} if text else ():
+            want[gram] = want.get(gram, 0) + text.count(gram)
+    rows = A.gram_counts(spark.createDataFrame([(t,) for t in texts], "t string"), F.col("t")).collect()
+    assert {r["gram"]: r["n"] for r in rows} == want and len(rows) == len(want)
+
+
+@pytest.mark.parametrize("most", [1, 7, 400])
+def test_commonest_separators(spark, most):
+    rng = random.Random(most)
+    texts = ["".join(rng.choice(("the ", "cat ", "é", "\n", "😀x")) for _ in range(rng.randrange(30))) for _ in range(20)] + ["", None, "z", "zz top" * 3]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    want = sorted(((r["sep"], r["n"]) for r in A.separators(df, F.col("t"), 9).collect()), key=lambda r: (-r[1], r[0].encode()))[:most]
+    assert [tuple(r) for r in A.top_separators(df, F.col("t"), most, 9).collect()] == want
+
+
+def test_separator_stats_of_places(spark):
+    df = spark.createDataFrame([("a--b----c",), ("--",), (None,), ("none",)], "t string")
+    row = A.separator_stats(df, F.col("t"), spark.createDataFrame([("--",), ("absent",)], "sep string")).collect()
+    places = [1, 4, 6, 0]
+    assert [tuple(r)[:4] for r in row] == [("--", 4, 0, 6)]
+    assert row[0]["mean"] == pytest.approx(np.mean(places)) and row[0]["sd"] == pytest.approx(np.std(places))
+    assert row[0]["score"] == pytest.approx(6 / np.std(places) * 2 * math.log(4))
+
+
 def test_transitions(spark):
     df = spark.createDataFrame([("[[Some Word]] is a b.",)], "t string")
     rows = {(r["from_class"], r["to_class"]): (r["n"], r["percent"]) for r in A.token_class_transitions(df, F.col("t")).collect()}

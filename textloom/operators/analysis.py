@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.codecs import can_spare, compact_words, html_unescape
-from textloom.functions.primitives import code_points, matches
+from textloom.functions.primitives import code_points, let, matches
 
 TOP = 100
 MAX_SEPARATORS = 1000
@@ -84,19 +87,39 @@ def token_class_transitions(df: DataFrame, text: Column, classes: tuple[tuple[st
     return moves.withColumn("percent", F.expr("100 * n").cast("long") / total).withColumn("percent", F.floor("percent").cast("long"))
 
 
-def gram_counts(df: DataFrame, text: Column, sizes: tuple[int, ...] = (2, 3, 4, 5)) -> DataFrame:
-    """(gram, n): occurrences of each n-gram that do not overlap, counted row by row in closed form."""
-    rows = df.select(text.alias("t"))
-    each = [F.expr(f"transform(CASE WHEN length(t) >= {k} THEN sequence(1, length(t) - {k - 1}) ELSE array() END, i -> substring(t, i, {k}))") for k in sizes]
-    grams = rows.select("t", F.explode(F.array_distinct(F.concat(*each))).alias("gram"))
-    once = F.expr("(length(t) - length(replace(t, gram, ''))) div length(gram)")
-    return grams.select("gram", once.alias("k")).groupBy("gram").agg(F.sum("k").alias("n"))
+def grams(text: Column, sizes: Sequence[int], bordered: bool = False) -> Column:
+    """All substrings of those lengths, or those that end as they begin, put together from an array of characters.
+
+    To find a place in a text would take as long as the text before it.
+    """
+
+    def of_size(chars: Column, k: int) -> Column:
+        starts = F.when(F.size(chars) >= k, F.sequence(F.lit(0), F.size(chars) - k)).otherwise(F.expr("cast(array() as array<int>)"))
+        if bordered:  # the shortest border is at most half as long
+            border = lambda i, p: reduce(Column.__and__, (F.get(chars, i + j) == F.get(chars, i + (k - p + j)) for j in range(p)))
+            starts = F.filter(starts, lambda i: reduce(Column.__or__, (border(i, p) for p in range(1, k // 2 + 1)), F.lit(False)))
+        return F.transform(starts, lambda i: F.concat(*(F.get(chars, i + j) for j in range(k))))
+
+    return let(code_points(text), lambda chars: F.concat(*(of_size(chars, k) for k in sizes)))
+
+
+def gram_counts(df: DataFrame, text: Column, sizes: Sequence[int] = (2, 3, 4, 5)) -> DataFrame:
+    """(gram, n): occurrences of each n-gram that do not overlap in a row.
+
+    Only a gram that ends as it begins can overlap itself. All others are counted place by place; those few
+    in closed form, once for each row that holds them.
+    """
+    rows = df.select(text.alias("t"))  # exploded as outer: else the optimiser builds all grams a second time to see whether there are any
+    borders = (((F.length("gram") >= 2 * p) & (F.left("gram", F.lit(p)) == F.right("gram", F.lit(p)))) for p in range(1, max(sizes) // 2 + 1))
+    once = rows.select(F.explode_outer(grams(F.col("t"), sizes)).alias("gram")).where(~reduce(Column.__or__, borders)).groupBy("gram").agg(F.count("*").alias("n"))
+    again = rows.select("t", F.explode_outer(F.array_distinct(grams(F.col("t"), sizes, bordered=True))).alias("gram")).where("gram IS NOT NULL")
+    apart = F.expr("(length(t) - length(replace(t, gram, ''))) div length(gram)")
+    return once.unionAll(again.select("gram", apart.alias("k")).groupBy("gram").agg(F.sum("k").alias("n")))
 
 
 def substrings(least: int, most: int) -> Column:
     """All substrings of column s of those lengths."""
-    each = [f"transform(CASE WHEN length(s) >= {k} THEN sequence(1, length(s) - {k - 1}) ELSE array() END, i -> substring(s, i, {k}))" for k in range(least, most + 1)]
-    return F.expr(f"concat({', '.join(each)})")
+    return grams(F.col("s"), range(least, most + 1))
 
 
 def symbol_patterns(df: DataFrame, text: Column, least: int = 2, longest: int = 10) -> DataFrame:
@@ -110,31 +133,65 @@ def symbol_patterns(df: DataFrame, text: Column, least: int = 2, longest: int =
 def separators(df: DataFrame, text: Column, longest: int = 63) -> DataFrame:
     """(sep, n): repeated substrings that no string one longer holds as often (closed patterns)."""
     rows = df.select(text.alias("s"))
-    found = rows.select(F.explode(substrings(1, longest)).alias("sep")).groupBy("sep").agg(F.count("*").alias("n")).where("n > 1")
-    # a longer string covers exactly its prefix and its suffix, so the containment join is an equi-join
+    return closed(rows.select(F.explode(substrings(1, longest)).alias("sep")).groupBy("sep").agg(F.count("*").alias("n")).where("n > 1"))
+
+
+def closed(found: DataFrame) -> DataFrame:
+    """Those (sep, n) that no string one longer equals in n; it covers exactly its prefix and its suffix, so containment is an equi-join."""
     longer = found.where("length(sep) > 1").select(F.explode(F.array(F.expr("left(sep, length(sep) - 1)"), F.expr("substring(sep, 2)"))).alias("sep"), "n").distinct()
     return found.join(longer, ["sep", "n"], "left_anti")
 
 
-def separator_stats(df: DataFrame, row: str, text: Column, seps: DataFrame) -> DataFrame:
+def top_separators(df: DataFrame, text: Column, most: int = TOP, longest: int = 63) -> DataFrame:
+    """(sep, n): the `most` commonest of separators(), ties by sep; exact, without listing what cannot be among them.
+
+    A string is no commoner than its start, so a length is counted only where the start one shorter is common
+    enough. Enough is the `most`th largest count so far: each count is that of a closed string too, maybe of a
+    longer one, so that as many closed strings are as common. It ends at the length that has none.
+    """
+    rows, levels, sizes, least = df.select(text.alias("s")), [], set(), 2
+    try:
+        for size in range(1, longest + 1):
+            places = rows.select(F.explode_outer(grams(F.col("s"), [size])).alias("sep")).where("sep IS NOT NULL")
+            if levels:
+                begun = levels[-1].where(F.col("n") >= least).select(F.col("sep").alias("start"))
+                places = places.join(begun, F.left("sep", F.lit(size - 1)) == F.col("start"), "left_semi")
+            levels.append(places.groupBy("sep").agg(F.count("*").alias("n")).where(F.col("n") >= least).persist())
+            commonest = levels[-1].select("n").distinct().orderBy(F.desc("n")).limit(most).collect()
+            if not commonest:
+                break
+            sizes = set(sorted(sizes | {r["n"] for r in commonest}, reverse=True)[:most])
+            least = max(least, min(sizes) if len(sizes) == most else 2)
+        found = reduce(DataFrame.unionAll, levels).where(F.col("n") >= least)
+        return df.sparkSession.createDataFrame(top(closed(found), "n", "sep", most).collect(), "sep string, n long")  # at most that many rows
+    finally:
+        for level in levels:
+            level.unpersist()
+
+
+def separator_stats(df: DataFrame, text: Column, seps: DataFrame) -> DataFrame:
     """(sep, n, lo, hi, mean, sd, score) of the places of each separator's occurrences that do not overlap, within a row.
 
-    seps is a report of at most MAX_SEPARATORS rows, which is checked before it is broadcast.
+    A row adds up its places itself. seps is a report of at most MAX_SEPARATORS rows, which is checked before it is broadcast.
     """
     if seps.limit(MAX_SEPARATORS + 1).count() > MAX_SEPARATORS:
         raise ValueError(f"more than {MAX_SEPARATORS} separators")
-    pieces = df.select(row, text.alias("s")).join(F.broadcast(seps.select("sep")), F.contains("s", "sep"))
-    parts = pieces.select(row, "sep", F.split("s", F.concat(F.lit(r"\Q"), F.col("sep"), F.lit(r"\E")), -1).alias("gaps"), F.length("sep").alias("len"))
-    ends = F.aggregate(
-        F.slice("gaps", F.lit(1), F.size("gaps") - 1),
-        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("places")),
-        lambda state, gap: F.struct((state["at"] + F.length(gap) + F.col("len")).alias("at"), F.concat(state["places"], F.array(state["at"] + F.length(gap))).alias("places")),
-        lambda state: state["places"],
-    )
-    places = parts.select("sep", "len", F.explode(ends).alias("place"))
-    stats = places.groupBy("sep", "len").agg(F.count("*").alias("n"), F.min("place").alias("lo"), F.max("place").alias("hi"), F.avg("place").alias("mean"), F.stddev_pop("place").alias("sd"))
+    pieces = df.select(text.alias("s")).join(F.broadcast(seps.select("sep")), F.contains("s", "sep")).withColumn("len", F.length("sep"))
+    gaps = F.split("s", F.concat(F.lit(r"\Q"), F.col("sep"), F.lit(r"\E")), -1)
+
+    def step(state: Column, gap: Column) -> Column:
+        at = state["end"] + F.length(gap)
+        wide = at.cast("double")
+        return F.struct((at + F.col("len")).alias("end"), (state["k"] + 1).alias("k"), F.coalesce(state["lo"], at).alias("lo"), at.alias("hi"), (state["sum"] + wide).alias("sum"), (state["squares"] + wide * wide).alias("squares"))
+
+    none = F.expr("named_struct('end', 0, 'k', 0L, 'lo', cast(null as int), 'hi', cast(null as int), 'sum', 0D, 'squares', 0D)")
+    summed = F.aggregate(let(gaps, lambda g: F.slice(g, F.lit(1), F.size(g) - 1)), none, step)
+    own = pieces.select("sep", "len", summed.alias("p"))
+    stats = own.groupBy("sep", "len").agg(F.sum("p.k").alias("n"), F.min("p.lo").alias("lo"), F.max("p.hi").alias("hi"), F.sum("p.sum").alias("sum"), F.sum("p.squares").alias("squares"))
+    stats = stats.withColumn("mean", F.col("sum") / F.col("n"))
+    stats = stats.withColumn("sd", F.sqrt(F.greatest(F.col("squares") / F.col("n") - F.col("mean") * F.col("mean"), F.lit(0.0))))
     score = F.when(F.col("sd") > 0, (F.col("hi") - F.col("lo")) / F.col("sd") * F.col("len") * F.ln("n")).otherwise(0.0)
-    return stats.withColumn("score", score).drop("len")
+    return stats.select("sep", "n", "lo", "hi", "mean", "sd", score.alias("score"))
 
 
 def unused_code_points(df: DataFrame, text: Column, below: int = 512) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.primitives import code_points
+from textloom.operators.analysis import grams
 
 
 def char_vocab(df: DataFrame, text: Column) -> DataFrame:
@@ -54,8 +55,7 @@ def likely_substrings(df: DataFrame, text: Column, longest: int = 5, most: int =
     shown = model.where("kind = 'emission'").select(F.col("to").alias("c"), F.col("from_state").alias("s"), F.col("lp").alias("emit"))
     begun = model.where("kind = 'initial'").select(F.col("to").alias("s"), F.col("lp").alias("begin"))
     moved = model.where("kind = 'transition'").select(F.col("from_state").alias("before"), F.col("to").alias("s"), F.col("lp").alias("move"))
-    each = [f"transform(CASE WHEN length(t) >= {k} THEN sequence(1, length(t) - {k - 1}) ELSE array() END, i -> substring(t, i, {k}))" for k in range(1, longest + 1)]
-    subs = df.select(text.alias("t")).select(F.explode(F.array_distinct(F.expr(f"concat({', '.join(each)})"))).alias("sub")).distinct()
+    subs = df.select(F.explode_outer(F.array_distinct(grams(text, range(1, longest + 1)))).alias("sub")).where("sub IS NOT NULL").distinct()
     letters = subs.select("sub", F.posexplode(code_points(F.col("sub"))).alias("at", "c")).join(shown, "c")
     letters = letters.withColumn("before", F.lag("s").over(Window.partitionBy("sub").orderBy("at")))
     scored = letters.join(begun, "s", "left").join(moved, ["before", "s"], "left")

@@ -66,7 +66,7 @@ def token_class_transitions_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ngram_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.gram_counts(table(spark, sf_dir, "benchmark"), F.col("text")).select("gram", F.length("gram").alias("size"), "n")
+    return A.gram_counts(docs(spark, sf_dir), F.col("text")).select("gram", F.length("gram").alias("size"), "n")
 
 
 def symbol_pattern_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,12 +74,11 @@ def symbol_pattern_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def separator_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.top(A.separators(table(spark, sf_dir, "benchmark"), F.col("text")), "n", "sep")
+    return A.top_separators(docs(spark, sf_dir), F.col("text"))
 
 
 def separator_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seps = spark.createDataFrame([(s,) for s in (". ", "the ", "\n", "tion", ", ")], "sep string")
-    found = A.separator_stats(docs(spark, sf_dir), "doc_id", F.col("text"), seps)
+    found = A.separator_stats(docs(spark, sf_dir), F.col("text"), separator_mining(spark, sf_dir))
     return found.select("sep", "n", "lo", "hi", *(F.round(c, 6).alias(c) for c in ("mean", "sd", "score"))).orderBy(F.desc("score"), "sep").limit(20)
 
 
@@ -88,7 +87,7 @@ def compact_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def can_spare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = docs(spark, sf_dir).select(C.compact_words(F.col("text")).alias("s")).select(F.explode(A.substrings(1, 10)).alias("pattern"))
+    parts = docs(spark, sf_dir).select(C.compact_words(F.col("text")).alias("s")).select(F.explode_outer(A.substrings(1, 10)).alias("pattern")).where("pattern IS NOT NULL")
     return parts.groupBy("pattern").agg(F.count("*").alias("n")).withColumn("saved", C.can_spare(F.col("pattern"), F.col("n")))
 
 
@@ -105,7 +104,7 @@ def hmm_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def likely_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.likely_substrings(table(spark, sf_dir, "benchmark"), F.col("text"))
+    return S.likely_substrings(docs(spark, sf_dir), F.col("text"))
 
 
 def story_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,6 +148,24 @@ _kind = "CASE " + " ".join(f"WHEN regexp_full_match(k, '{_plain(p)}', 's') THEN
 _joined = "|".join(_plain(p) for _, p in CLASSES)
 _state = r"CASE WHEN regexp_full_match(c, '\p{L}') THEN 'letter' WHEN regexp_full_match(c, '\p{Nd}') THEN 'digit' ELSE c END"
 
+_bordered = " OR ".join(f"(length(gram) > {p} AND left(gram, {p}) = right(gram, {p}))" for p in range(1, 5))
+#: What cannot overlap itself is counted place by place, all else by what a text loses with it.
+GRAMS = f"""
+        rows_ AS (SELECT doc_id, text AS s FROM documents),
+        g AS (SELECT doc_id, s, unnest(flatten([[substr(s, i, k) for i in range(1, length(s) - k + 2)] for k in range(2, 6)])) AS gram FROM rows_),
+        own AS (SELECT DISTINCT doc_id, s, gram FROM g WHERE {_bordered}),
+        grams AS (SELECT gram, count(*) AS n FROM g WHERE NOT ({_bordered}) GROUP BY gram
+                  UNION ALL SELECT gram, sum((length(s) - length(replace(s, gram, ''))) // length(gram))::BIGINT AS n FROM own GROUP BY gram)"""
+#: A string of over eight characters is no commoner than its first eight, so only what begins commonly enough is followed up to 63.
+_MINED = f"""
+        rows_ AS MATERIALIZED (SELECT text AS s FROM documents), p AS ({_SUBS.format(low=1, high=8, name="sep")}),
+        f AS MATERIALIZED (SELECT sep, count(*) AS n FROM p GROUP BY sep HAVING count(*) > 1),
+        least AS (SELECT min(n) AS t FROM (SELECT n FROM f WHERE length(sep) < 8 AND NOT EXISTS (SELECT 1 FROM (SELECT left(sep, -1) AS inner_, n FROM f UNION SELECT substr(sep, 2), n FROM f) l WHERE l.inner_ = f.sep AND l.n = f.n) ORDER BY n DESC LIMIT 100)),
+        begun AS (SELECT s, unnest(range(1, length(s) - 7)) AS i FROM rows_),
+        long_ AS (SELECT unnest([substr(s, i, k) for k in range(9, least(64, length(s) - i + 2))]) AS sep FROM (SELECT s, i FROM begun WHERE substr(s, i, 8) IN (SELECT sep FROM f, least WHERE length(sep) = 8 AND n >= t))),
+        every AS (SELECT sep, n FROM f UNION ALL SELECT sep, count(*) AS n FROM long_ GROUP BY sep HAVING count(*) > 1),
+        mined AS (SELECT sep, n FROM every WHERE NOT EXISTS (SELECT 1 FROM (SELECT left(sep, -1) AS inner_, n FROM every UNION SELECT substr(sep, 2), n FROM every) l WHERE l.inner_ = every.sep AND l.n = every.n) ORDER BY n DESC, sep LIMIT 100)"""
+
 ORACLES = {
     "word_freq": f"SELECT word, count(*) AS n FROM (SELECT {WORDS} AS word FROM documents) GROUP BY word ORDER BY n DESC, word LIMIT 100",
     "word_page_freq": f"SELECT word, count(DISTINCT doc_id) AS pages FROM (SELECT doc_id, {WORDS} AS word FROM documents) GROUP BY word ORDER BY pages DESC, word LIMIT 100",
@@ -166,23 +183,16 @@ ORACLES = {
         m AS (SELECT kind AS from_class, lead(kind) OVER (PARTITION BY doc_id ORDER BY pos) AS to_class FROM c),
         g AS (SELECT from_class, to_class, count(*) AS n FROM m WHERE to_class IS NOT NULL GROUP BY ALL)
         SELECT from_class, to_class, n, floor(100 * n / sum(n) OVER (PARTITION BY from_class))::BIGINT AS percent FROM g""",
-    "ngram_count": f"""
-        WITH rows_ AS (SELECT item_id, text AS s FROM benchmark),
-        g AS (SELECT DISTINCT item_id, s, unnest(flatten([[substr(s, i, k) for i in range(1, length(s) - k + 2)] for k in range(2, 6)])) AS gram FROM rows_)
-        SELECT gram, length(gram)::INT AS size, sum((length(s) - length(replace(s, gram, ''))) // length(gram))::BIGINT AS n FROM g GROUP BY gram""",
+    "ngram_count": f"WITH {GRAMS} SELECT gram, length(gram)::INT AS size, n FROM grams",
     "symbol_pattern_mining": f"""
         WITH u AS (SELECT replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS h FROM pages),
         rows_ AS (SELECT {_skeleton("h")} AS s FROM u), p AS ({_SUBS.format(low=2, high=10, name="pattern")}),
         g AS (SELECT pattern, count(*) AS n FROM p GROUP BY pattern)
         SELECT pattern, n, n * {_spare("pattern")} AS saved FROM g WHERE {_spare("pattern")} > 0 ORDER BY saved DESC, pattern LIMIT 100""",
-    "separator_mining": f"""
-        WITH rows_ AS (SELECT text AS s FROM benchmark), p AS ({_SUBS.format(low=1, high=63, name="sep")}),
-        g AS (SELECT sep, count(*) AS n FROM p GROUP BY sep HAVING count(*) > 1)
-        SELECT sep, n FROM g WHERE NOT EXISTS (SELECT 1 FROM (SELECT left(sep, -1) AS inner_, n FROM g UNION SELECT substr(sep, 2), n FROM g) l WHERE l.inner_ = g.sep AND l.n = g.n)
-        ORDER BY n DESC, sep LIMIT 100""",
-    "separator_stats": r"""
-        WITH seps AS (SELECT unnest(['. ', 'the ', chr(10), 'tion', ', ']) AS sep),
-        parts AS (SELECT doc_id, sep, string_split(text, sep) AS gaps FROM documents, seps WHERE contains(text, sep)),
+    "separator_mining": f"WITH {_MINED} SELECT sep, n FROM mined",
+    "separator_stats": rf"""
+        WITH {_MINED},
+        parts AS (SELECT doc_id, sep, string_split(text, sep) AS gaps FROM documents, mined WHERE contains(text, sep)),
         u AS (SELECT doc_id, sep, unnest(gaps) AS gap, generate_subscripts(gaps, 1) AS k, len(gaps) AS m FROM parts),
         places AS (SELECT sep, k, m, sum(length(gap)) OVER (PARTITION BY doc_id, sep ORDER BY k) + (k - 1) * length(sep) AS place FROM u),
         g AS (SELECT sep, count(*) AS n, min(place)::INT AS lo, max(place)::INT AS hi, avg(place) AS mean, stddev_pop(place) AS sd FROM places WHERE k < m GROUP BY sep)

@@ -13,7 +13,7 @@ from textloom.operators import analysis as A
 from textloom.operators import backref, blocks, encode, sketch
 from textloom.operators import extract as X
 from textloom.operators.codec import REGISTRY, Pipeline
-from textloom.plans.analysis_queries import _SUBS, _skeleton
+from textloom.plans.analysis_queries import GRAMS, _SUBS, _skeleton
 from textloom.plans.views import ESCAPED, MARKUP, WIKI
 from textloom.session import ship_package, table
 from textloom.streaming import topk
@@ -202,12 +202,11 @@ def reuse_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backref.reuse_distance(docs(spark, sf_dir), "doc_id", F.col("text"))
 
 
-@query("""
-    WITH g AS (SELECT DISTINCT item_id, text AS s, unnest(flatten([[substr(text, i, k) for i in range(1, length(text) - k + 2)] for k in range(2, 6)])) AS gram FROM benchmark),
-    c AS (SELECT gram, sum((length(s) - length(replace(s, gram, ''))) // length(gram))::BIGINT AS n FROM g GROUP BY gram)
-    SELECT gram, n, length(gram) * n - 2 * n - (length(gram) + 2) - 2 AS score FROM c WHERE length(gram) >= 3 AND n > 1 AND length(gram) * n - 2 * n - (length(gram) + 2) - 2 > 0""")
+@query(f"""
+    WITH {GRAMS}
+    SELECT gram, n, length(gram) * n - 2 * n - (length(gram) + 2) - 2 AS score FROM grams WHERE length(gram) >= 3 AND n > 1 AND length(gram) * n - 2 * n - (length(gram) + 2) - 2 > 0""")
 def block_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocks.best_blocks(table(spark, sf_dir, "benchmark"), F.col("text"))
+    return blocks.best_blocks(docs(spark, sf_dir), F.col("text"))
 
 
 @query()
