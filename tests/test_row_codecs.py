@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import random
 
 import pytest
 from hypothesis import example, given, settings
@@ -138,3 +139,18 @@ def test_reuse_distance(spark):
             want.append((1, p, t, len(set(tokens[before[-1] + 1 : p]))))
     for f in (backref.reuse_distance, backref.reuse_distance_relational):
         assert sorted(tuple(r) for r in f(df, "i", F.col("text")).collect()) == want
+
+
+@pytest.mark.parametrize("most", [1, 3, 1 << 31])
+def test_ranks_of_recent_words(most):
+    rng = random.Random(most)
+    ranked, recent = backref.Ranked(300, most), backref.Recent(most)
+    for _ in range(300):
+        word = rng.choice("abcdefgh")
+        newest = list(recent.newest_first())
+        assert ranked.rank(word) == (newest.index(word) if word in newest else None)
+        assert [ranked.word(k) for k in range(len(newest))] == newest
+        ranked.add(word)
+        recent.add(word)
+    with pytest.raises(ValueError):
+        ranked.word(len(list(recent.newest_first())))

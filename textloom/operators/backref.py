@@ -116,33 +116,76 @@ def usable_stem(word: str) -> str | None:
     return found if found != word and word.startswith(found) and len(found) > 2 else None
 
 
+class Ranked:
+    """Words by how recently they were used; both ways between word and rank take logarithmic time."""
+
+    def __init__(self, uses: int, most: int):
+        self.most, self.last, self.words = most, {}, []
+        self.tree = [0] * (uses + 1)
+        self.top = 1 << uses.bit_length()
+
+    def _mark(self, at: int, by: int) -> None:
+        while at < len(self.tree):
+            self.tree[at] += by
+            at += at & -at
+
+    def add(self, word: str) -> None:
+        before = self.last.pop(word, None)
+        if before is None and len(self.last) >= self.most:
+            before = self.last.pop(next(iter(self.last)))
+        if before is not None:
+            self._mark(before, -1)
+        self.words.append(word)
+        self.last[word] = len(self.words)
+        self._mark(len(self.words), 1)
+
+    def rank(self, word: str) -> int | None:
+        """The number of distinct words used since; None if the word is not among the last."""
+        at = self.last.get(word)
+        if at is None:
+            return None
+        older = 0
+        while at:
+            older += self.tree[at]
+            at -= at & -at
+        return len(self.last) - older
+
+    def word(self, rank: int) -> str:
+        left, at, step = len(self.last) - rank, 0, self.top  # the left-th oldest
+        if not 0 < left <= len(self.last):
+            raise ValueError(f"no word before has rank {rank}")
+        while step:
+            if at + step < len(self.tree) and self.tree[at + step] < left:
+                at += step
+                left -= self.tree[at]
+            step >>= 1
+        return self.words[at]
+
+
 def encode_stems(text: str, window: int = 1 << 31) -> str:
     """Repeat a stem as `>`, the number of distinct stems since, and the rest of the word."""
     text = regex.sub(r"(?a)>(?=\w)", ">>", text)
-    recent = Recent(window)
+    recent = Ranked(sum(1 for _ in _STEM_WORD.finditer(text)), window)
 
     def change(m: regex.Match) -> str:
         word = m[0]
         root = usable_stem(word)
         if root is None:
             return word
-        out = word
-        if root in recent.words:
-            far = next(i for i, w in enumerate(recent.newest_first()) if w == root)
-            out = f">{far}{word[len(root) :]}"
+        far = recent.rank(root)
         recent.add(root)
-        return out
+        return word if far is None else f">{far}{word[len(root) :]}"
 
     return _STEM_WORD.sub(change, text)
 
 
 def decode_stems(text: str, window: int = 1 << 31) -> str:
-    recent = Recent(window)
+    recent = Ranked(sum(1 for _ in _STEM_CODE.finditer(text)), window)
 
     def change(m: regex.Match) -> str:
         word = m[0]
         if word.startswith(">"):
-            root = next(w for i, w in enumerate(recent.newest_first()) if i == int(m[1]))
+            root = recent.word(int(m[1]))
             word = root + word[1 + len(m[1]) :]
             if usable := root if word != root and len(root) > 2 else None:
                 recent.add(usable)
