@@ -5,12 +5,14 @@ from __future__ import annotations
 import math
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from textloom.operators import analysis as A
 from textloom.operators import encode, sequence, sketch
+from textloom.plans import catalog
 from textloom.sources import files, wiki_dump
 from textloom.streaming.count_min import CountMin, stream_estimates
 from textloom.streaming.topk import TopK, stream_top_k
@@ -147,6 +149,29 @@ def test_count_min_never_underestimates(spark):
     assert all(found[k] >= n for k, n in true.items())
 
 
+@pytest.mark.parametrize("error", [0.5, 1e-5])
+def test_mined_counts_are_exact_however_full_the_sketch(spark, error):
+    df = spark.createDataFrame([(f"k{i}",) for i in range(60) for _ in range(max(1, i - 40))], "word string")
+    true = {f"k{i}": i - 40 for i in range(42, 60)}
+    mined = sketch.mined(df, "word", error, error)
+    assert mined.columns == ["word", "n"]
+    assert {r["word"]: r["n"] for r in mined.collect()} == true
+    total = sum(true.values())
+    common = {k: n for k, n in true.items() if 100 * sum(m for m in true.values() if m > n) < 80 * total}
+    assert {r["word"]: r["n"] for r in sketch.common_part(mined, "word").collect()} == common
+
+
+def test_pattern_mining_against_sql_with_a_full_sketch(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sketch, "shape", lambda *errors: (40, 2))
+    rows = [(1, "<a>one</a> [[two three]]"), (2, "<b>four</b>; <a>ç</a> &lt;i&gt;"), (3, ""), (4, None), (5, "<a>one</a> é, z")]
+    spark.createDataFrame(rows, "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    found = catalog.queries()["cms_pattern_mining"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, found)) == sorted(con.sql(catalog.oracle_sql()["cms_pattern_mining"]).fetchall())
+    assert found
+
+
 def test_murmur3():
     assert [sketch.murmur3_32(x) for x in (b"", b"a", b"hello", b"hello, world")] == [0, 1009084850, 613153351, 345750399]
 

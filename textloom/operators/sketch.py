@@ -43,15 +43,17 @@ def estimate(keys: DataFrame, name: str, sketch: DataFrame, width: int, depth: i
 
 
 def mined(df: DataFrame, key: str, epsilon: float = 1e-5, delta: float = 1e-5) -> DataFrame:
-    """(key, n) of the keys that a sketch has counted more than once; n is its estimate, never too small.
+    """(key, n) of the keys that occur more than once, n exact however full the sketch is.
 
-    Equal keys are combined before they reach the sketch, and a sketch of this width is joined by a shuffle.
+    The sketch names the candidates and misses none, as its estimates are never too small. Those too large are put right
+    by the keys' own counts: equal keys are combined before they reach the sketch, which is joined by a shuffle.
     """
     width, depth = shape(epsilon, delta)
     counted = df.groupBy(key).agg(F.count("*").alias("k"))
     at = counted.select(key, "k", F.explode(cells(F.col(key), width, depth)).alias("c")).select(key, "k", "c.line", "c.place")
     held = at.groupBy("line", "place").agg(F.sum("k").alias("n"))
-    return at.join(held, ["line", "place"]).groupBy(key).agg(F.min("n").alias("n")).where("n > 1")
+    found = at.join(held, ["line", "place"]).groupBy(key).agg(F.min("n").alias("estimate"), F.max("k").alias("n")).where("estimate > 1")
+    return found.where("n > 1").select(key, "n")
 
 
 #: Expected insertions and share of false positives of a Bloom filter; its bits and hashes follow.
