@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import math
 import random
+import time
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from textloom.operators import analysis as A
-from textloom.operators import encode, sequence, sketch
+from textloom.operators import encode, grams, sequence, sketch
 from textloom.plans import catalog
 from textloom.sources import files, wiki_dump
 from textloom.streaming.count_min import CountMin, stream_estimates
@@ -112,6 +114,34 @@ def test_grams_of_any_text(spark):
     assert {r["gram"]: r["n"] for r in rows} == want and len(rows) == len(want)
 
 
+def test_grams_in_parts_of_any_size():
+    rng = random.Random(7)
+    for alphabet in ("ab", "abé😀 ", "\0a", "".join(map(chr, range(0x4E00, 0x5E00)))):
+        texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(40))) for _ in range(60)] + [None, "", "aaaaaaa"]
+        batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["t"])
+        cut = list(grams.parts(iter([batch.slice(0, 5), batch.slice(5)]), most=100))
+        assert [t for part in cut for t in part.column(0).to_pylist()] == texts and len(cut) > 9
+        for apart in (False, True):
+            found, want = {}, {}
+            for part in cut:
+                for strings, n in grams.tallied(grams.Part(part.column(0)), (1, 4, 12), apart):
+                    for gram, k in zip(strings.to_pylist(), n.tolist(), strict=True):
+                        found[gram] = found.get(gram, 0) + k
+            for text in filter(None, texts):
+                places = [text[i : i + k] for k in (1, 4, 12) for i in range(len(text) - k + 1)]
+                for gram in set(places):
+                    want[gram] = want.get(gram, 0) + (text.count(gram) if apart else places.count(gram))
+            assert found == want
+
+
+def test_grams_of_much_text_in_bounded_time(spark):
+    rng = random.Random(8)
+    rows = [("".join(rng.choices("etaoin shrdlu\n", k=50_000)),) for _ in range(40)]
+    began = time.perf_counter()
+    assert A.gram_counts(spark.createDataFrame(rows, "t string"), F.col("t")).groupBy(F.length("gram")).agg(F.sum("n")).count() == 4
+    assert time.perf_counter() - began < 15  # it took over ten seconds a megabyte and core
+
+
 @pytest.mark.parametrize("most", [1, 7, 400])
 def test_commonest_separators(spark, most):
     rng = random.Random(most)
