@@ -142,6 +142,19 @@ def test_grams_of_much_text_in_bounded_time(spark):
     assert time.perf_counter() - began < 15  # it took over ten seconds a megabyte and core
 
 
+def test_best_blocks_of_odd_texts(spark):
+    from textloom.operators import blocks
+
+    texts = ["aaaaaaaaaaaaaaaa", "the cat\0 the cat\0 the cat\0", "😀é😀é😀é😀é😀é😀é", "", None, "xyz"] + ["abcab" * 40] * 3
+    want = {}
+    for text in filter(None, texts):
+        for gram in {text[i : i + k] for k in range(3, 6) for i in range(len(text) - k + 1)}:
+            want[gram] = want.get(gram, 0) + text.count(gram)
+    score = {g: len(g) * n - 2 * n - (len(g) + 2) - 2 for g, n in want.items() if n > 1}
+    rows = blocks.best_blocks(spark.createDataFrame([(t,) for t in texts], "t string"), F.col("t")).collect()
+    assert [tuple(r) for r in rows] == sorted(((g, want[g], s) for g, s in score.items() if s > 0), key=lambda r: (-r[2], r[0].encode()))
+
+
 @pytest.mark.parametrize("most", [1, 7, 400])
 def test_commonest_separators(spark, most):
     rng = random.Random(most)
