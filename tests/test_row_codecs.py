@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import random
+import time
 
 import pytest
 from hypothesis import example, given, settings
@@ -86,6 +87,23 @@ def test_bwt_golden_and_definition():
     assert bwt.decode("BWT" + many) == many
 
 
+def test_bwt_of_many_texts_at_once():
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(40))) for letters in ("ab", "abn é\U0001f600", "a") for _ in range(150)]
+    texts += ["the same line\n" * 50, "x" * 300, "".join(chr(0x4E00 + i) for i in range(200))]
+    coded = bwt.encode_all(texts)
+    assert coded == [bwt.encode(t) for t in texts]
+    assert bwt.decode_all(coded) == texts
+    for text in texts[::9]:
+        turns = [(w[i:] + w[:i], w[i - 1]) for w in bwt.lyndon_words(text) for i in range(len(w))]
+        if text.isascii():
+            assert bwt.transform(text) == "".join(last for turn, last in sorted(turns, key=lambda t: t[0] * 300))
+    words = rng.choices(["tree ", "house\n", "river "], k=60_000)
+    began = time.perf_counter()
+    assert bwt.decode("".join(bwt.encode("".join(words)))) == "".join(words)
+    assert time.perf_counter() - began < 3  # it took over ten seconds
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.text(max_size=60))
 def test_packed_characters(text):
