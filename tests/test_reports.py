@@ -250,6 +250,44 @@ def test_perplexity(spark):
     assert found[2] == pytest.approx(1 / p_ac)
 
 
+ODD = ["", None, "a", "\0a", "aé😀 é😀\n", "１a2٣b", "x" * 50, "ab" * 30]
+
+
+def test_perplexity_of_odd_texts_and_of_many(spark):
+    pairs = {}
+    for text in filter(None, ODD):
+        for pair in zip(text, text[1:]):  # noqa: B905
+            pairs[pair] = pairs.get(pair, 0) + 1
+    rest = {a: sum(n for (b, _), n in pairs.items() if a == b) for a, _ in pairs}
+    bits = lambda p: -math.log2(pairs[p] / rest[p[0]])
+    want = {i: 2 ** (sum(map(bits, zip(t, t[1:]))) / (len(t) - 1)) for i, t in enumerate(ODD) if t and len(t) > 1}  # noqa: B905
+    df = spark.createDataFrame(list(enumerate(ODD)), "i int, t string")
+    assert {r["i"]: r["perplexity"] for r in sequence.perplexity(df, "i", F.col("t")).collect()} == {i: pytest.approx(p) for i, p in want.items()}
+    rng = random.Random(9)
+    many = spark.createDataFrame([(i, "".join(rng.choices("etaoin shrdlu\n", k=200_000))) for i in range(40)], "i int, t string")
+    began = time.perf_counter()
+    assert sequence.perplexity(many, "i", F.col("t")).count() == 40
+    assert time.perf_counter() - began < 10
+
+
+def test_states_of_odd_texts(spark):
+    state = lambda c: "letter" if c.isalpha() else "digit" if c.isdecimal() else c
+    want = {}
+    for text in filter(None, ODD):
+        states = list(map(state, text))
+        for key in [("initial", "", states[0]), *(("emission", *x) for x in zip(states, text)), *(("transition", *x) for x in zip(states, states[1:]))]:  # noqa: B905
+            want[key] = want.get(key, 0) + 1
+    rows = sequence.hmm_fit(spark.createDataFrame([(t,) for t in ODD], "t string"), F.col("t")).collect()
+    assert {(r["kind"], r["from_state"], r["to"]): r["n"] for r in rows} == want and len(rows) == len(want)
+    assert all(r["p"] == pytest.approx(r["n"] / sum(n for k, n in want.items() if k[:2] == (r["kind"], r["from_state"]))) for r in rows)
+    rng = random.Random(10)
+    many = spark.createDataFrame([("".join(rng.choices("etaoin shrdlu 12", k=400_000)),) for _ in range(40)], "t string")
+    began = time.perf_counter()
+    assert sequence.hmm_fit(many, F.col("t")).count() > 9
+    assert sequence.likely_substrings(many, F.col("t"), 3).count() == 30
+    assert time.perf_counter() - began < 20
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     for kind in ("lstm", "gru", "rnn", "feed_forward"):

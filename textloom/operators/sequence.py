@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.primitives import code_points
-from textloom.operators.analysis import grams
+from textloom.operators.grams import Part, counted, parts, tally
+from textloom.session import ship_package
+
+#: Rows of a model that are broadcast at most.
+MOST_BROADCAST = 200_000
 
 
 def char_vocab(df: DataFrame, text: Column) -> DataFrame:
@@ -18,50 +23,74 @@ def char_vocab(df: DataFrame, text: Column) -> DataFrame:
 
 
 def bigrams(df: DataFrame, text: Column) -> DataFrame:
-    """(a, b, n): how often a character follows another in a row."""
-    rows = df.select(code_points(text).alias("c")).where("size(c) > 1")
-    pairs = rows.select(F.explode(F.zip_with(F.slice("c", F.lit(1), F.size("c") - 1), F.slice("c", F.lit(2), F.size("c") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("p"))
-    return pairs.groupBy("p.a", "p.b").agg(F.count("*").alias("n"))
+    """(gram, n): how often a character follows another in a row."""
+    return counted(df, text, (2,))
+
+
+def row_bigrams(df: DataFrame, id_col: str, text: Column) -> DataFrame:
+    """(id, gram, k): the same for each row, in Arrow batches."""
+    rows = df.select(id_col, text.alias("t")).where("length(t) > 1")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches, 1):
+            part = Part(batch.column(1))
+            pairs = part.base * part.base
+            row = np.repeat(np.arange(batch.num_rows), part.marks + 1 - part.starts)[:-1]
+            found, k = tally(row * pairs + part.codes[:-1] * part.base + part.codes[1:])
+            codes = part.points(found % pairs, 2, [])
+            whole = (codes > 0).all(1)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(found[whole] // pairs)), part.strings(codes[whole]), pa.array(k[whole], pa.int64())], [id_col, "gram", "k"])
+
+    ship_package(df.sparkSession)
+    return rows.mapInArrow(run, f"{id_col} {rows.dtypes[0][1]}, gram string, k long")
 
 
 def perplexity(df: DataFrame, id_col: str, text: Column) -> DataFrame:
     """(id, perplexity) of each row under the corpus' own character bigrams: 2 to the mean surprise in bits.
 
-    Surprise is looked up once for each distinct pair of a row; the model has at most alphabet squared rows.
+    Surprise is looked up once for each distinct pair of a row; the model has at most alphabet squared rows, and is
+    broadcast if it has at most MOST_BROADCAST.
     """
     model = bigrams(df, text)
-    model = model.withColumn("bits", -F.log2(F.col("n") / F.sum("n").over(Window.partitionBy("a")))).select("a", "b", "bits")
-    rows = df.select(id_col, code_points(text).alias("c")).where("size(c) > 1")
-    pairs = rows.select(id_col, F.explode(F.zip_with(F.slice("c", F.lit(1), F.size("c") - 1), F.slice("c", F.lit(2), F.size("c") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("p"))
-    own = pairs.groupBy(id_col, "p.a", "p.b").agg(F.count("*").alias("k"))
-    return own.join(model, ["a", "b"]).groupBy(id_col).agg(F.pow(F.lit(2.0), F.sum(F.col("k") * F.col("bits")) / F.sum("k")).alias("perplexity"))
+    model = model.withColumn("bits", -F.log2(F.col("n") / F.sum("n").over(Window.partitionBy(F.left("gram", F.lit(1)))))).select("gram", "bits")
+    few = model.limit(MOST_BROADCAST + 1).toArrow()
+    if few.num_rows <= MOST_BROADCAST:
+        model = F.broadcast(df.sparkSession.createDataFrame(few))
+    own = row_bigrams(df, id_col, text)
+    return own.join(model, "gram").groupBy(id_col).agg(F.pow(F.lit(2.0), F.sum(F.col("k") * F.col("bits")) / F.sum("k")).alias("perplexity"))
 
 
 def hmm_fit(df: DataFrame, text: Column) -> DataFrame:
-    """(kind, from_state, to, n, p): initial, transition and emission shares of a first-order model whose states are letter, digit and each symbol."""
+    """(kind, from_state, to, n, p): initial, transition and emission shares of a first-order model whose states are letter, digit and each symbol.
+
+    A character has one state, so that all counts are sums of those of characters, of pairs and of first characters.
+    """
     state = lambda c: F.when(c.rlike(r"(?s)^\p{L}$"), "letter").when(c.rlike(r"(?s)^\p{Nd}$"), "digit").otherwise(c)
-    rows = df.select(code_points(text).alias("c")).where("size(c) > 0").select("c", F.transform("c", state).alias("s"))
     one = lambda kind, a, b: F.struct(F.lit(kind).alias("kind"), a.alias("from_state"), b.alias("to"))
-    first = F.array(one("initial", F.lit(""), F.get("s", F.lit(0))))
-    moves = F.zip_with(F.slice("s", F.lit(1), F.size("s") - 1), F.slice("s", F.lit(2), F.size("s") - 1), lambda a, b: one("transition", a, b))
-    shown = F.zip_with("s", "c", lambda s, c: one("emission", s, c))
-    counted = rows.select(F.explode(F.concat(first, F.when(F.size("s") > 1, moves).otherwise(F.slice(moves, 1, 0)), shown)).alias("x")).groupBy("x.kind", "x.from_state", "x.to").agg(F.count("*").alias("n"))
-    return counted.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("kind", "from_state")))
+    first, last = F.left("gram", F.lit(1)), F.right("gram", F.lit(1))
+    begun = df.select(F.left(text, F.lit(1)).alias("gram")).where("gram <> ''").groupBy("gram").agg(F.count("*").alias("n")).select(one("initial", F.lit(""), state(first)).alias("x"), "n")
+    shown = counted(df, text, (1, 2)).select(F.when(F.length("gram") == 1, one("emission", state(first), first)).otherwise(one("transition", state(first), state(last))).alias("x"), "n")
+    summed = begun.unionAll(shown).groupBy("x.kind", "x.from_state", "x.to").agg(F.sum("n").alias("n"))
+    return summed.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("kind", "from_state")))
 
 
 def likely_substrings(df: DataFrame, text: Column, longest: int = 5, most: int = 30) -> DataFrame:
-    """(sub, log_likelihood): distinct substrings of 1 to `longest` characters, likeliest first under hmm_fit(df, text)."""
-    model = hmm_fit(df, text).select("kind", "from_state", "to", F.log("p").alias("lp"))
-    shown = model.where("kind = 'emission'").select(F.col("to").alias("c"), F.col("from_state").alias("s"), F.col("lp").alias("emit"))
-    begun = model.where("kind = 'initial'").select(F.col("to").alias("s"), F.col("lp").alias("begin"))
-    moved = model.where("kind = 'transition'").select(F.col("from_state").alias("before"), F.col("to").alias("s"), F.col("lp").alias("move"))
-    subs = df.select(F.explode_outer(F.array_distinct(grams(text, range(1, longest + 1)))).alias("sub")).where("sub IS NOT NULL").distinct()
-    letters = subs.select("sub", F.posexplode(code_points(F.col("sub"))).alias("at", "c")).join(shown, "c")
-    letters = letters.withColumn("before", F.lag("s").over(Window.partitionBy("sub").orderBy("at")))
-    scored = letters.join(begun, "s", "left").join(moved, ["before", "s"], "left")
-    step = F.col("emit") + F.when(F.col("at") == 0, F.col("begin")).otherwise(F.col("move"))
-    total = scored.groupBy("sub").agg(F.sum(step).alias("log_likelihood"), F.count(step).alias("known"), F.count("*").alias("size")).where("known = size")
-    return total.select("sub", "log_likelihood").orderBy(F.desc("log_likelihood"), "sub").limit(most)
+    """(sub, log_likelihood): distinct substrings of 1 to `longest` characters, likeliest first under hmm_fit(df, text); at most `most` rows."""
+    model = hmm_fit(df, text).select("kind", "from_state", "to", F.log("p").alias("lp")).persist()  # asked three times
+    try:
+        shown = model.where("kind = 'emission'").select(F.col("to").alias("c"), F.col("from_state").alias("s"), F.col("lp").alias("emit"))
+        begun = model.where("kind = 'initial'").select(F.col("to").alias("s"), F.col("lp").alias("begin"))
+        moved = model.where("kind = 'transition'").select(F.col("from_state").alias("before"), F.col("to").alias("s"), F.col("lp").alias("move"))
+        subs = counted(df, text, range(1, longest + 1), "sub").select("sub")
+        letters = subs.select("sub", F.posexplode(code_points(F.col("sub"))).alias("at", "c")).join(shown, "c")
+        letters = letters.withColumn("before", F.lag("s").over(Window.partitionBy("sub").orderBy("at")))
+        scored = letters.join(begun, "s", "left").join(moved, ["before", "s"], "left")
+        step = F.col("emit") + F.when(F.col("at") == 0, F.col("begin")).otherwise(F.col("move"))
+        total = scored.groupBy("sub").agg(F.sum(step).alias("log_likelihood"), F.count(step).alias("known"), F.count("*").alias("size")).where("known = size")
+        best = total.select("sub", "log_likelihood").orderBy(F.desc("log_likelihood"), "sub").limit(most)
+        return df.sparkSession.createDataFrame(best.collect(), "sub string, log_likelihood double")
+    finally:
+        model.unpersist()
 
 
 def text_steps(lines: Sequence[str]) -> tuple[list[str], list[list[tuple[np.ndarray, np.ndarray]]]]:
