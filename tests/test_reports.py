@@ -215,6 +215,20 @@ def test_pattern_mining_against_sql_with_a_full_sketch(spark, tmp_path, monkeypa
     assert found
 
 
+@pytest.mark.parametrize("percent", [1, 50, 80, 100])
+def test_common_part_cuts_anywhere_and_sorts_nothing_in_one_place(spark, percent):
+    rng = random.Random(percent)
+    counts = {"".join(rng.choice("ab\0é😀") for _ in range(rng.randrange(6))): rng.choice((2, 2, 2, 3, 3, 9)) for _ in range(300)}
+    want, before = [], 0
+    for key, n in sorted(counts.items(), key=lambda x: (-x[1], x[0].encode())):
+        if 100 * before < percent * sum(counts.values()):
+            want.append((key, n))
+        before += n
+    found = sketch.common_part(spark.createDataFrame(list(counts.items()), "k string, n long"), "k", percent)
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    assert "Window" not in found._jdf.queryExecution().toString()
+
+
 def test_murmur3():
     assert [sketch.murmur3_32(x) for x in (b"", b"a", b"hello", b"hello, world")] == [0, 1009084850, 613153351, 345750399]
 

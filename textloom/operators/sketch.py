@@ -146,23 +146,47 @@ def pattern_aliases(df: DataFrame, text: Column, most: int = 100) -> DataFrame:
     """
     from textloom.operators.analysis import symbol_patterns
 
-    mined = symbol_patterns(df, text)
-    one = F.length(F.regexp_replace("pattern", "[^wz]", "")) == 1
-    wanted = common_part(mined.where("n > 1").select("pattern", "n"), "pattern").where(one)
-    # fixed values: the symbols of the short forms
-    marks, pairs = "!?#_-|", ("()", "{}", "[]", "__", "--", "||")
-    forms = [(f"{p[0]}{m}{k}{p[1]}",) for k in "wz" for p in pairs for m in marks]
-    free = df.sparkSession.createDataFrame(forms, "alias string").join(mined.select(F.col("pattern").alias("alias")), "alias", "left_anti")
-    free = free.withColumn("letter", F.regexp_replace("alias", "[^wz]", "")).withColumn("k", F.row_number().over(Window.partitionBy("letter").orderBy("alias")))
-    paying = wanted.withColumn("letter", F.regexp_replace("pattern", "[^wz]", "")).withColumn("benefit", F.col("n") * (F.length("pattern") - 4)).where("benefit > 0")
-    best = paying.orderBy(F.desc("benefit"), "pattern").limit(most)
-    best = best.withColumn("k", F.row_number().over(Window.partitionBy("letter").orderBy(F.desc("benefit"), "pattern")))
-    return best.join(free, ["letter", "k"]).select("pattern", "alias", "n", "benefit")
+    mined = symbol_patterns(df, text).select("pattern", "n").persist()
+    try:
+        one = F.length(F.regexp_replace("pattern", "[^wz]", "")) == 1
+        wanted = common_part(mined.where("n > 1"), "pattern").where(one)
+        # fixed values: the symbols of the short forms
+        marks, pairs = "!?#_-|", ("()", "{}", "[]", "__", "--", "||")
+        forms = [f"{p[0]}{m}{k}{p[1]}" for k in "wz" for p in pairs for m in marks]
+        held = {r["pattern"] for r in mined.where(F.col("pattern").isin(forms)).select("pattern").collect()}
+        free = df.sparkSession.createDataFrame([(f,) for f in forms if f not in held], "alias string")
+        free = free.withColumn("letter", F.regexp_replace("alias", "[^wz]", "")).withColumn("k", F.row_number().over(Window.partitionBy("letter").orderBy("alias")))
+        paying = wanted.withColumn("letter", F.regexp_replace("pattern", "[^wz]", "")).withColumn("benefit", F.col("n") * (F.length("pattern") - 4)).where("benefit > 0")
+        best = paying.orderBy(F.desc("benefit"), "pattern").limit(most)
+        best = best.withColumn("k", F.row_number().over(Window.partitionBy("letter").orderBy(F.desc("benefit"), "pattern")))
+        rows = best.join(free, ["letter", "k"]).select("pattern", "alias", "n", "benefit").collect()  # at most `most`
+        return df.sparkSession.createDataFrame(rows, "pattern string, alias string, n long, benefit long")
+    finally:
+        mined.unpersist()
 
 
 def common_part(counted: DataFrame, key: str, percent: int = 80) -> DataFrame:
-    """Keys in the order (n desc, key) up to the cumulative share; counted is a report that was already reduced."""
-    order = Window.orderBy(F.desc("n"), key)
-    before, all_ = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    shares = counted.select(key, "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"), F.sum("n").over(all_).alias("total"))
-    return shares.where(f"100 * before < {percent} * total").select(key, "n")
+    """Keys in the order (n desc, key) up to the cumulative share; counted is asked several times, so that it should be persisted.
+
+    Nothing is sorted in one place: the sums of keys by n, one row for each distinct n, tell which n is cut; of the keys
+    that have it, counts by ever longer starts tell the last that is kept.
+    """
+    sums = sorted(((r["n"], r["s"]) for r in counted.groupBy("n").agg(F.sum("n").alias("s")).collect()), reverse=True)
+    total, before = sum(s for _, s in sums), 0
+    for cut, of_cut in sums:
+        if 100 * (before + of_cut) >= percent * total:
+            break
+        before += of_cut
+    else:
+        return counted.select(key, "n")
+    kept = -(-(percent * total - 100 * before) // (100 * cut))  # of the keys that occur so often; at least one
+    alike, start, size = counted.where(F.col("n") == cut), "", 0
+    while True:
+        size += 1
+        for row in alike.where(F.startswith(F.col(key), F.lit(start))).groupBy(F.left(key, F.lit(size)).alias("start")).count().orderBy("start").collect():
+            if row["count"] >= kept:
+                break
+            kept -= row["count"]
+        start = row["start"]
+        if row["count"] == kept:
+            return counted.where((F.col("n") > cut) | ((F.col("n") == cut) & (F.left(key, F.lit(size)) <= start))).select(key, "n")
