@@ -118,6 +118,14 @@ def test_lexical_fields():
     assert len(lexical.apply(text, fields[:1])) < len(text)
 
 
+def test_lexical_fields_count_what_can_overlap():
+    assert lexical.grow("aaaaaaaa.abab.abab.aaaa") == [("aaaa", 3), ("abab", 2)]
+    rng = random.Random(5)
+    for _ in range(200):
+        text = "".join(rng.choice("aab. ") for _ in range(80))
+        assert all(text.count(f) == n > 1 for f, n in lexical.grow(text))
+
+
 @pytest.mark.parametrize("name", ["word_backref", "stem_backref", "bwt", "char_escape"])
 def test_round_trips_over_documents(spark, name):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
