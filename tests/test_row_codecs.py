@@ -126,6 +126,44 @@ def test_lexical_fields_count_what_can_overlap():
         assert all(text.count(f) == n > 1 for f, n in lexical.grow(text))
 
 
+def test_words_with_what_they_share_since():
+    def plain(text, window):
+        held, out = [], []
+        for word in text.split():
+            coded = word
+            if word in held:
+                since = held[held.index(word) + 1 :]
+                shared = lambda a: max((next((i for i, (x, y) in enumerate(zip(a(word), a(o))) if x != y), min(len(word), len(o))) for o in since), default=0)  # noqa: E731, B905
+                starts, ends = shared(lambda w: w), shared(lambda w: w[::-1])
+                kept = min(starts, ends) + 1
+                if kept + 1 < len(word):
+                    coded = "<" + word[-kept:] if starts > ends else word[:kept] + ">"
+                held.remove(word)
+            held = [*held, word][-window:]
+            out.append(coded)
+        return " ".join(out)
+
+    rng = random.Random(6)
+    for window in (1, 2, 5, 1024) * 60:
+        text = " ".join("".join(rng.choices("abé", k=rng.randrange(3, 7))) for _ in range(rng.randrange(80)))
+        coded = backref.encode_words(text, window)
+        assert coded == plain(text, window)
+        assert backref.decode_words(coded, window) == text
+
+
+def test_rows_of_a_batch_are_strings_a_few_at_a_time(spark):
+    most = spark.sparkContext.accumulator(0)
+
+    def note(texts):
+        most.add(len(texts) > backref.ROWS)
+        return [t.upper() for t in texts]
+
+    rows = spark.range(5000).repartition(1).select(F.when(F.col("id") % 7 > 0, F.concat(F.lit("t"), F.col("id"))).alias("t"))
+    out = rows.select("t", backref.per_batch(note)(F.col("t")).alias("u"))
+    assert out.where(~F.col("u").eqNullSafe(F.upper("t"))).count() == 0
+    assert most.value == 0
+
+
 @pytest.mark.parametrize("name", ["word_backref", "stem_backref", "bwt", "char_escape"])
 def test_round_trips_over_documents(spark, name):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
