@@ -6,6 +6,7 @@ import itertools
 import random
 import time
 
+import numpy as np
 import pytest
 from hypothesis import example, given, settings
 from hypothesis import strategies as st
@@ -164,6 +165,24 @@ def test_rows_of_a_batch_are_strings_a_few_at_a_time(spark):
     assert most.value == 0
 
 
+def test_distances_of_many_rows_at_once():
+    rng = random.Random(7)
+    rows = [[rng.randrange(k) for _ in range(rng.randrange(60))] for k in (1, 3, 20) for _ in range(60)]
+    places, far = backref.distances(np.array([t for r in rows for t in r]), np.repeat(np.arange(len(rows)), [len(r) for r in rows]))
+    want, start = [], 0
+    for row in rows:
+        for at, token in enumerate(row):
+            if token in row[:at]:
+                before = at - 1 - row[:at][::-1].index(token)
+                want.append((start + at, len(set(row[before + 1 : at]))))
+        start += len(row)
+    assert list(zip(places.tolist(), far.tolist(), strict=True)) == want
+    much = np.array([rng.randrange(5000) for _ in range(400_000)])
+    began = time.perf_counter()
+    backref.distances(much, np.zeros(len(much), np.int64))
+    assert time.perf_counter() - began < 1.5  # it took several seconds
+
+
 @pytest.mark.parametrize("name", ["word_backref", "stem_backref", "bwt", "char_escape"])
 def test_round_trips_over_documents(spark, name):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
