@@ -102,7 +102,7 @@ def test_bwt_of_many_texts_at_once():
     words = rng.choices(["tree ", "house\n", "river "], k=60_000)
     began = time.perf_counter()
     assert bwt.decode("".join(bwt.encode("".join(words)))) == "".join(words)
-    assert time.perf_counter() - began < 3  # it took over ten seconds
+    assert time.perf_counter() - began < 3  # it took 29 seconds
 
 
 @settings(max_examples=100, deadline=None)
@@ -180,7 +180,7 @@ def test_distances_of_many_rows_at_once():
     much = np.array([rng.randrange(5000) for _ in range(400_000)])
     began = time.perf_counter()
     backref.distances(much, np.zeros(len(much), np.int64))
-    assert time.perf_counter() - began < 1.5  # it took several seconds
+    assert time.perf_counter() - began < 1.5
 
 
 @pytest.mark.parametrize("name", ["word_backref", "stem_backref", "bwt", "char_escape"])
